@@ -2,10 +2,10 @@
 
 A shard is its strings, each followed by a sentinel (symbol 0; byte b is symbol b + 1), read as a
 circle. Its suffixes are sorted once, by doubling. The merge never sorts suffixes again: it keeps
-which shard the next suffix comes from, and each round deals that interleave stably by the
-symbol before each suffix, so that after h rounds it is ordered by the first h symbols. A boundary
-between neighbours that first appears in round h is a common prefix of h - 1 symbols; neighbours without a boundary after
-`depth` rounds share that many symbols, and such runs are the repeated intervals.
+which shard the next suffix comes from, and each round deals that interleave stably by the STEP symbols
+before each suffix, so that after h rounds it is ordered by the first h * STEP symbols. A boundary
+between neighbours that first appears in round h is a common prefix of (h - 1) * STEP symbols at least;
+neighbours without a boundary after all rounds share `depth` symbols, and such runs are the repeated intervals.
 """
 
 from __future__ import annotations
@@ -19,18 +19,23 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Symbols of a shard, about.
 SHARD = 1 << 16
+#: Symbols that a round of the merge goes deeper: two fit 16 bits, which sort by counting.
+STEP = 2
 
 
 def symbols(strings: list[bytes]) -> np.ndarray:
-    flat = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
+    flat = np.frombuffer(b"".join(strings), np.uint8)
+    flat = flat + np.uint8(1) if flat.max(initial=0) < 255 else flat.astype(np.uint16) + 1  # UTF-8 has no byte 255
     ends = np.cumsum([len(s) for s in strings])
     return np.insert(flat, ends, 0)
 
 
 def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
     """Circular suffixes by their first `depth` symbols at least."""
-    n, step = len(t), 1
-    key = t.astype(np.int64)
+    n, step = len(t), 7
+    key = np.zeros(n, np.int64)
+    for j in range(step):  # seven symbols below 257 fit a long
+        key = key * 257 + np.roll(t, -(j % n))
     while True:
         order = np.argsort(key, kind="stable")
         new = np.ones(n, bool)
@@ -45,35 +50,43 @@ def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
 
 
 def transform(t: np.ndarray, order: np.ndarray) -> np.ndarray:
-    return t[order - 1]
+    """The STEP symbols before each suffix, in the order of suffixes."""
+    out = t[order - STEP].astype(np.uint16 if t.dtype == np.uint8 else np.uint32)
+    for j in range(STEP - 1, 0, -1):
+        out = out * (256 if t.dtype == np.uint8 else 257) + t[order - j]
+    return out
 
 
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the concatenated transforms, common prefix with the one before, at most depth) in merged order."""
+    """(place in the concatenated transforms, common prefix with the one before) in merged order.
+
+    Prefixes are known to STEP symbols, from below, and to `depth` (a multiple of STEP) at most.
+    """
     bwt = np.concatenate(transforms)
     size = [len(b) for b in transforms]
     kind = np.uint8 if len(size) < 256 else np.uint16 if len(size) < 1 << 16 else np.int64
     z = np.repeat(np.arange(len(size), dtype=kind), size)
     n = len(bwt)
-    block = np.zeros(n, np.int64)
-    prefix = np.full(n, depth, np.int64)
+    block = np.zeros(n, np.int32)
+    prefix = np.full(n, depth, np.int32)
     prefix[:1] = 0
     edges = 1
-    at = np.empty(n, np.int64)
-    for h in range(1, depth + 1):
-        at[np.argsort(z, kind="stable")] = np.arange(n)
+    at = np.empty(n, np.int32)
+    places = np.arange(n, dtype=np.int32)
+    for h in range(STEP, depth + 1, STEP):
+        at[np.argsort(z, kind="stable")] = places
         symbol = bwt[at]
         dealt = np.argsort(symbol, kind="stable")
         s, b = symbol[dealt], block[dealt]
         new = np.ones(n, bool)
         new[1:] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
-        prefix[new & (prefix == depth)] = h - 1
+        prefix[new & (prefix == depth)] = h - STEP
         nz, now = z[dealt], int(new.sum())
         same = now == edges and np.array_equal(nz, z)
-        z, block, edges = nz, np.cumsum(new), now
+        z, block, edges = nz, np.cumsum(new, dtype=np.int32), now
         if same:
             break
-    at[np.argsort(z, kind="stable")] = np.arange(n)
+    at[np.argsort(z, kind="stable")] = places
     return at, prefix
 
 
@@ -85,7 +98,7 @@ def repeated_minima(strings: list[bytes], least: np.ndarray, depth: int) -> list
     transforms, owner, offset = [], [], []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         t = symbols(strings[a:b])
-        order = suffix_order(t, depth + 1)
+        order = suffix_order(t, depth + STEP)
         transforms.append(transform(t, order))
         start = np.concatenate([[0], np.cumsum(length[a:b] + 1)[:-1]])
         own = np.searchsorted(start, order, "right") - 1

@@ -3,10 +3,10 @@
 A byte is removed if a 50-byte string over it also starts in a document with a smaller id. The steps:
 
 1. Equal texts are one text, with the least id; later copies go as a whole (if they hold a string at all).
-2. The key of a 50-byte string is the least hash of its 20-byte pieces, so it depends on the string only, and
+2. The key of a 50-byte string is the least hash of its 28-byte pieces, so it depends on the string only, and
    neighbouring strings mostly share it. Keys that occur in two texts are found by dealing the keys of all texts,
    packed by batch, to parts; what a batch already knows to be repeated is sent once.
-3. Runs of strings with one repeated key are cut out as contexts (at most 80 bytes). Equal contexts are one row
+3. Runs of strings with one repeated key are cut out as contexts (at most 72 bytes). Equal contexts are one row
    with the least id (a grouped minimum, so hot passages collapse before they move).
 4. Contexts with one key meet in a task. Their shards' transforms are merged by interleave refinement, 50 rounds
    deep, and each interval of strings with 50 common symbols takes its least id. A key with over GROUP_CAP
@@ -26,6 +26,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from .common import cut, lean_batches, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LENGTH, PIECE = 50, 20
+LENGTH, PIECE = 50, 28
 WIDTH = LENGTH - PIECE + 1
 #: Strings of one context at most: a mask of them fits a long.
 RUN = WIDTH
@@ -48,30 +49,39 @@ RUN = WIDTH
 GROUP_CAP = 20_000
 #: Symbols that are merged at once, about.
 MERGE = 1 << 20
-#: Text bytes whose keys make one part, about.
-PART_BYTES = 16 << 20
+#: Text bytes whose keys make one part, about, and the fewest parts.
+PART_BYTES, MIN_PARTS = 32 << 20, 32
 CHUNK = 1 << 22
 B = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(17)]
 
 
 def string_keys(raw: bytes) -> np.ndarray:
     """The key of the string that starts at each byte."""
+    return keys_and_pieces(raw)[0]
+
+
+def keys_and_pieces(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of strings, and hashes of pieces, by start."""
     a = np.frombuffer(raw, np.uint8)
     parts = [_keys(a[at : at + CHUNK + LENGTH - 1]) for at in range(0, max(0, len(a) - LENGTH + 1), CHUNK)]
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    return np.concatenate([k for k, _ in parts]), np.concatenate([*(x[: len(k)] for k, x in parts[:-1]), parts[-1][1]])
 
 
-def _keys(a: np.ndarray) -> np.ndarray:
+def _keys(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h = {1: a.astype(np.uint64) + np.uint64(1)}
     for k in (1, 2, 4, 8):
         h[2 * k] = h[k][:-k] * B[k] + h[k][k:]
-    x = h[16][: len(a) - PIECE + 1] * B[4] + h[4][16:]
+    n = len(a) - PIECE + 1
+    x = h[16][:n] * B[12] + h[8][16 : 16 + n] * B[4] + h[4][24:]
     x ^= x >> np.uint64(31)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
+    low = x
     for k in (1, 2, 4, 8):
-        x = np.minimum(x[:-k], x[k:])
-    return np.minimum(x[: len(x) - (WIDTH - 16)], x[WIDTH - 16 :])
+        low = np.minimum(low[:-k], low[k:])
+    return np.minimum(low[: len(low) - (WIDTH - 16)], low[WIDTH - 16 :]), x
 
 
 def _spans(cuts: np.ndarray, end: int) -> list[tuple[int, int]]:
@@ -112,7 +122,7 @@ def key_parts(n_parts: int):
             key = np.concatenate([key[~twin], once])
             text = np.concatenate([text, np.zeros(len(once), np.int64)])
             to = (key % np.uint64(n_parts)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
+            order = np.lexsort((text, to))  # equal ids side by side compress well
             key, text, to = key[order], text[order], to[order]
             cuts = np.searchsorted(to, np.unique(to), "left")
             rows = [(p, k.tobytes(), ids[o].tobytes()) for p, (k, o) in zip(part, packs, strict=True)]
@@ -165,17 +175,34 @@ def repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush(held)
 
 
-CONTEXT = "text_key long, doc_id long, key long, start long, context binary"
+CONTEXT = "text_key long, doc_id long, key long, start long, piece int, context binary"
+#: A string that two contexts share reaches LENGTH - PIECE bytes beyond the piece, so one of these (before, after) at least.
+REACH = ((0, 17), (6, 11), (12, 5), (18, 0))
+
+
+def single_places(pieces: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Where each key stands among pieces[lo:hi], from lo; -1 if more than once."""
+    names = np.unique(key)
+    place = np.flatnonzero(np.isin(pieces, names))
+    n = len(pieces) + 1
+    order = np.sort(np.searchsorted(names, pieces[place]) * n + place)
+    base = np.searchsorted(names, key) * n
+    first = np.searchsorted(order, base + lo)
+    more = np.searchsorted(order, base + hi) - first > 1
+    return np.where(more, -1, order[first] - base - lo)
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text_key, doc_id, text, blobs of keys) to the contexts of the text's repeated keys."""
-    kinds = [pa.int64()] * 4 + [pa.binary()]
-    names = ["text_key", "doc_id", "key", "start", "context"]
+    """(text_key, doc_id, text, blobs of keys) to the contexts of the text's repeated keys.
+
+    `piece` is where the piece that gave the key stands in the context, or -1 if it stands there more than once.
+    """
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+    names = ["text_key", "doc_id", "key", "start", "piece", "context"]
     for batch in batches:
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[] for _ in names]
         for name, doc, raw, blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            key = string_keys(raw)
+            key, pieces = keys_and_pieces(raw)
             known = np.isin(key, np.frombuffer(b"".join(blobs), np.uint64))
             start = np.flatnonzero(known)
             if not len(start):
@@ -185,50 +212,79 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = (k[1:] != k[:-1]) | (start[1:] != start[:-1] + 1)
             at = np.flatnonzero(new)
             run = np.diff(np.append(at, len(start)))
-            for a, n in zip(at.tolist(), run.tolist(), strict=True):
-                for j in range(0, n, RUN):
-                    s = int(start[a]) + j
-                    cols[3].append(s)
-                    cols[4].append(raw[s : s + min(RUN, n - j) + LENGTH - 1])
-                    cols[2].append(int(k[a].view(np.int64)))
+            # runs in steps of RUN strings
+            steps = -(-run // RUN)
+            of = np.repeat(np.arange(len(at)), steps)
+            j = (np.arange(len(of)) - np.repeat(np.cumsum(steps) - steps, steps)) * RUN
+            s, many, own = start[at][of] + j, np.minimum(RUN, run[of] - j), k[at][of]
+            cols[2] += own.view(np.int64).tolist()
+            cols[3] += s.tolist()
+            cols[4] += single_places(pieces, own, s, s + many + WIDTH - 1).tolist()
+            cols[5] += [raw[x:y] for x, y in zip(s.tolist(), (s + many + LENGTH - 1).tolist(), strict=True)]
             cols[0] += [name] * (len(cols[3]) - len(cols[0]))
             cols[1] += [doc] * (len(cols[3]) - len(cols[1]))
             if len(cols[0]) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
-                cols = [[], [], [], [], []]
+                cols = [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
 
 def interval_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, context, least), sorted by key, to (context, minima): the least id of each string in the context."""
+    """(key, context, least, last, piece), sorted by key, to (context, minima): the least id of each string in the context.
+
+    A string that two contexts share holds the piece, so they agree on one of the REACH pairs around it. A context that agrees
+    so with no other of its key shares strings with its own copies only, and needs no merge.
+    """
 
-    def flush(strings: list[bytes], least: list[int]) -> pa.RecordBatch:
-        found = repeated_minima(strings, np.array(least, np.int64), LENGTH)
-        values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]), pa.int32()), pa.array(np.concatenate(found)))
-        return pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), values], ["context", "minima"])
+    def flush(strings: list[bytes], least: list[int], single: list[tuple[bytes, int]]) -> pa.RecordBatch:
+        found = repeated_minima(strings, np.array(least, np.int64), LENGTH) if strings else []
+        found += [np.full(len(c) - LENGTH + 1, low, np.int64) for c, low in single]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+        values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(strings + [c for c, _ in single], pa.binary()), values], ["context", "minima"])
+
+    strings, least, single, size = [], [], [], 0
+    now, group = None, []
+
+    def close() -> None:
+        nonlocal size
+        if len(group) == 1 or any(g[3] < 0 for g in group):
+            agree = [len(group) > 1] * len(group)
+        else:
+            agree = [False] * len(group)
+            for a, b in REACH:
+                around = [c[p - a : p + PIECE + b] if p >= a and len(c) >= p + PIECE + b else None for c, _, _, p in group]
+                n = Counter(around)
+                agree = [was or (x is not None and n[x] > 1) for was, x in zip(agree, around, strict=True)]
+        for (context, low, last, _), merge in zip(group, agree, strict=True):
+            if merge:
+                strings.append(context)
+                least.append(low)
+                size += len(context) + 1
+            elif low < last:
+                single.append((context, low))
 
-    now, strings, least, size = None, [], [], 0
     for batch in batches:
-        for key, context, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key != now and size > MERGE:
-                yield flush(strings, least)
-                strings, least, size = [], [], 0
-            now = key
-            strings.append(context)
-            least.append(low)
-            size += len(context) + 1
-    if strings:
-        yield flush(strings, least)
-
-
-def removal(raw: bytes, hits: list[tuple[int, int]]) -> tuple[int, int, str]:
-    """Bytes removed, runs, and the digest of the rest, from (start, mask of strings) of the contexts."""
-    covered = np.zeros(len(raw) + 1, np.int32)
-    for start, mask in hits:
-        at = start + np.flatnonzero([(mask >> i) & 1 for i in range(RUN)])
-        np.add.at(covered, at, 1)
-        np.add.at(covered, at + LENGTH, -1)
-    gone = np.cumsum(covered)[:-1] > 0
+        for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != now:
+                close()
+                now, group = key, []
+                if size > MERGE or len(single) > 50_000:
+                    yield flush(strings, least, single)
+                    strings, least, single, size = [], [], [], 0
+            group.append(row)
+    close()
+    yield flush(strings, least, single)
+
+
+def removal(raw: bytes, hits: np.ndarray) -> tuple[int, int, str]:
+    """Bytes removed, runs, and the digest of the rest, from hits: start << RUN | mask of strings."""
+    lanes = np.arange(RUN)
+    starts = ((hits >> RUN)[:, None] + lanes)[((hits[:, None] >> lanes) & 1).astype(bool)]
+    begun = np.zeros(len(raw) + LENGTH, np.int64)
+    begun[starts + LENGTH] = 1
+    np.cumsum(begun, out=begun)
+    gone = np.append(begun[LENGTH:], begun[-1])[: len(raw)] > begun[: len(raw)]
     runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
     return int(gone.sum()), runs, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()
 
@@ -248,33 +304,36 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ident = cut(texts.select("doc_id", "text_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
     known = ident.where("doc_id is not null")
     firsts = cut(known.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")))
-    n_parts = max(1, (known.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0) // PART_BYTES)
+    n_parts = max(MIN_PARTS, (known.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0) // PART_BYTES)
     sent = texts.where(F.col("doc_id").isNotNull()).select("text_key", "text").mapInArrow(key_parts(n_parts), "part long, keys binary, texts binary")
     answers = sent.repartition("part").sortWithinPartitions("part").mapInArrow(repeated_keys, "text_key long, keys binary")
     keys = cut(answers.groupBy("text_key").agg(F.collect_list("keys").alias("keys")).join(firsts, "text_key"))
     free_shuffles(spark)
     # by both columns, so that many copies of a text do not meet; rows with equal id and text only repeat contexts
     met = texts.join(keys, ["text_key", "doc_id"])
-    places = cut(met.select("text_key", "doc_id", "text", "keys").mapInArrow(contexts, CONTEXT).withColumn("name", F.md5("context")))
+    places = cut(met.select("text_key", "doc_id", "text", "keys").mapInArrow(contexts, CONTEXT))
     free_shuffles(spark)
-    distinct = cut(places.groupBy("key", "context").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")))
-    per_key = distinct.groupBy("key").agg(F.count("*").alias("n"))
-    sized = distinct.join(per_key, "key")
-    minima = F.transform(F.sequence(F.lit(1), F.octet_length("context") - (LENGTH - 1)), lambda _: F.col("least"))
-    alone = sized.where("n = 1 and least < last").select("context", minima.alias("minima"))
-    shared = sized.where(f"n between 2 and {GROUP_CAP}").select("key", "context", "least").repartition("key").sortWithinPartitions("key").mapInArrow(interval_minima, "context binary, minima array<long>")
-    each = sized.where(f"n > {GROUP_CAP}").select("context", "least", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("context") - (LENGTH - 1)), lambda i: F.substring(F.col("context"), i, F.lit(LENGTH)))).alias("at", "string"))
+    distinct = cut(places.groupBy("key", "context").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.min("piece").alias("piece")))
+    free_shuffles(spark)
+    hot = cut(distinct.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_CAP).select("key"))
+    merged = distinct.join(hot, "key", "left_anti").select("key", "context", "least", "last", "piece").repartition("key").sortWithinPartitions("key")
+    merged = merged.mapInArrow(interval_minima, "context binary, minima array<long>")
+    starts = F.sequence(F.lit(1), F.octet_length("context") - (LENGTH - 1))
+    each = distinct.join(hot, "key", "left_semi").select("context", "least", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("context"), i, F.lit(LENGTH)))).alias("at", "string"))
     low = each.groupBy("string").agg(F.min("least").alias("low"))
-    split = each.join(low, "string").groupBy("context").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "low"))), lambda x: x["low"]).alias("minima"))
-    found = cut(alone.unionByName(shared).unionByName(split).select(F.md5("context").alias("name"), "minima"))
-    mask = F.aggregate(F.transform("minima", lambda m, i: F.when(m < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    hits = places.select("name", "text_key", "doc_id", "start").join(found, "name").select("text_key", "doc_id", "start", mask.alias("mask")).where("mask <> 0")
-    hits = cut(hits.groupBy("text_key", "doc_id").agg(F.collect_set(F.struct("start", "mask")).alias("hits")))
+    split = each.join(low, "string").groupBy("context").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("m")).select("context", F.transform("m", lambda x: x["low"]).alias("minima"))
+    name = [F.xxhash64("context").alias("n0"), F.xxhash64("context", F.lit(LENGTH)).alias("n1")]
+    found = cut(merged.unionByName(split).select(*name, "minima"))
+    free_shuffles(spark)
+    bits = F.transform("minima", lambda m, i: F.when(m < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    mask = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    hits = places.select(*name, "text_key", "doc_id", "start").join(found, ["n0", "n1"]).select("text_key", "doc_id", "start", mask.alias("mask")).where("mask <> 0")
+    hits = cut(hits.groupBy("text_key", "doc_id").agg(F.collect_list(F.call_function("shiftleft", F.col("start"), F.lit(RUN)).bitwiseOR(F.col("mask"))).alias("hits")))
     free_shuffles(spark)
 
     @F.pandas_udf("n_removed long, n_spans long, sha string")
     def removed(raw: pd.Series, found: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([removal(r, [(x["start"], x["mask"]) for x in h]) for r, h in zip(raw, found, strict=True)], columns=["n_removed", "n_spans", "sha"])
+        return pd.DataFrame([removal(r, np.asarray(h, np.int64)) for r, h in zip(raw, found, strict=True)], columns=["n_removed", "n_spans", "sha"])
 
     done = texts.join(hits, ["text_key", "doc_id"]).select("text_key", "doc_id", removed("text", "hits").alias("r"))
     done = done.groupBy("text_key", "doc_id").agg(F.first("r").alias("r"))  # repeated rows have equal results
