@@ -23,7 +23,7 @@ def clean_text(col: Column) -> Column:
     out = F.regexp_replace(col.cast("string"), r"[^\x00-\x7F]", "")
     out = F.trim(F.lower(F.regexp_replace(out, "[^A-Za-z0-9]+", " ")))
     for w in STOP_WORDS:
-        for pattern, to in ((f" {w} ", " "), (f"^{w} ", ""), (f" {w}$", "")):
+        for pattern, to in ((f" {w} ", " "), (f"^{w} | {w}$", "")):
             out = F.regexp_replace(out, pattern, to)
     return out
 
@@ -32,7 +32,7 @@ def clean_text_sql(column: str) -> str:
     """The same as clean_text in DuckDB's SQL."""
     out = rf"trim(lower(regexp_replace(regexp_replace(CAST({column} AS VARCHAR), '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9]+', ' ', 'g')))"
     for w in STOP_WORDS:
-        for pattern, to in ((f" {w} ", " "), (f"^{w} ", ""), (f" {w}$", "")):
+        for pattern, to in ((f" {w} ", " "), (f"^{w} | {w}$", "")):
             out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
     return out
 
