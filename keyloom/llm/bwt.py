@@ -23,9 +23,10 @@ SHARD = 1 << 16
 STEP = 2
 
 
-def symbols(strings: list[bytes]) -> np.ndarray:
+def symbols(strings: list[bytes], wide: bool = False) -> np.ndarray:
+    """wide: a byte 255 occurs (never in UTF-8), so symbols need 16 bits."""
     flat = np.frombuffer(b"".join(strings), np.uint8)
-    flat = flat + np.uint8(1) if flat.max(initial=0) < 255 else flat.astype(np.uint16) + 1  # UTF-8 has no byte 255
+    flat = flat.astype(np.uint16) + 1 if wide else flat + np.uint8(1)
     ends = np.cumsum([len(s) for s in strings])
     return np.insert(flat, ends, 0)
 
@@ -96,8 +97,9 @@ def repeated_minima(strings: list[bytes], least: np.ndarray, depth: int) -> list
     shard_of = np.cumsum(length + 1) // SHARD
     bounds = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(shard_of)) + 1, [len(strings)]]))
     transforms, owner, offset = [], [], []
+    wide = any(b"\xff" in s for s in strings)
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        t = symbols(strings[a:b])
+        t = symbols(strings[a:b], wide)
         order = suffix_order(t, depth + STEP)
         transforms.append(transform(t, order))
         start = np.concatenate([[0], np.cumsum(length[a:b] + 1)[:-1]])

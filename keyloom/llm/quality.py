@@ -72,17 +72,18 @@ def with_base(df: DataFrame, text: F.Column) -> DataFrame:
 def host_verdicts(rated: DataFrame) -> DataFrame:
     """One row per host of (host, base_failed): documents, failures, shrunk rate, verdict.
 
-    The prior of the rates p of all hosts has mean m and variance v; its weight is
-    m(1-m)/v - 1 after the binomial part of v is taken off, held within PRIOR_WEIGHT.
+    The prior's mean m is the failure rate of all documents. The variance v of the hosts' rates, weighted by
+    documents and less what chance alone makes of it, gives the prior's weight m(1-m)/v - 1, held
+    within PRIOR_WEIGHT.
     """
     hosts = rated.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    rate = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("n")).alias("inv")).select(
-        "m", F.greatest(F.col("v") - F.col("m") * (1 - F.col("m")) * F.col("inv"), F.lit(1e-6)).alias("v")
-    )
-    weight = F.greatest(F.lit(PRIOR_WEIGHT[0]), F.least(F.lit(PRIOR_WEIGHT[1]), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))
+    sums = hosts.agg(F.sum("n").alias("n"), F.sum("failed").alias("f"), F.sum(F.col("failed") * F.col("failed") / F.col("n")).alias("q"), F.count("*").alias("h"))
+    m = F.col("f") / F.col("n")
+    spread = F.col("q") / F.col("n") - m * m - m * (1 - m) * F.col("h") / F.col("n")
+    weight = F.greatest(F.lit(PRIOR_WEIGHT[0]), F.least(F.lit(PRIOR_WEIGHT[1]), m * (1 - m) / F.greatest(spread, F.lit(1e-6)) - 1))
+    prior = sums.select(m.alias("m"), weight.alias("k"))
     m = prior.select("m").scalar()
-    k = prior.select(weight.alias("k")).scalar()
+    k = prior.select("k").scalar()
     shrunk = (F.col("failed") + k * m) / (F.col("n") + k)
     return hosts.withColumn("host_rate", shrunk).withColumn("host_failed", F.col("host_rate") > MAX_HOST_RATE)
 
@@ -130,9 +131,9 @@ cov AS (SELECT doc_id, sum(least(8, nxt - i)) AS n FROM (
 r AS (SELECT b.*, coalesce(cov.n, 0) AS n_repeat_words FROM b LEFT JOIN cov USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM r),
 h AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS failed FROM f GROUP BY source),
-p AS (SELECT m, greatest(v - m * (1 - m) * inv, 1e-6) AS v FROM (
-      SELECT avg(failed / n) AS m, var_pop(failed / n) AS v, avg(1 / n) AS inv FROM h)),
-k AS (SELECT m, greatest(2.0, least(1000.0, m * (1 - m) / v - 1)) AS k FROM p),
+p AS (SELECT f / n AS m, q / n - (f / n) * (f / n) - (f / n) * (1 - f / n) * h / n AS v FROM (
+      SELECT sum(n) AS n, sum(failed) AS f, sum(failed * failed / n) AS q, count(*) AS h FROM h)),
+k AS (SELECT m, greatest(2.0, least(1000.0, m * (1 - m) / greatest(v, 1e-6) - 1)) AS k FROM p),
 hv AS (SELECT source, (failed + k * m) / (n + k) > 0.8 AS host_failed FROM h, k)
 SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
