@@ -92,10 +92,11 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source") -> DataFram
     """`row` (all columns of docs), the base statistics, host_rate and `kept`.
 
     The rated rows are written once: the statistics are the dear part, and both the
-    host aggregate and the verdict read them.
+    host aggregate and the verdict read them. So are the verdicts: where their file is below Spark's
+    broadcast threshold, the join moves no text.
     """
     rated = cut(with_base(pack(docs).withColumn("host", F.col("row")[host]), F.col("row")[text]))
-    hosts = host_verdicts(rated.select("host", "base_failed"))
+    hosts = cut(host_verdicts(rated.select("host", "base_failed")))
     met = rated["host"].eqNullSafe(hosts["host"])
     joined = rated.join(hosts.select("host", "host_rate", "host_failed"), met, "left")
     return joined.select("row", *BASE, "host_rate", (~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))).alias("kept"))
