@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Words of the contracts end at these bytes (ASCII white space only).
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -31,10 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back, so that lineage ends there."""
+    """Write df once to the shared folder and read it back, so that lineage ends there.
+
+    The shuffle files of the write go as it ends: nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keyloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    was = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if was is None else spark.conf.set(SHUFFLE_CLEANUP, was)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

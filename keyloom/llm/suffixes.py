@@ -23,7 +23,6 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import sys
 from collections import Counter
@@ -289,12 +288,6 @@ def removal(raw: bytes, hits: np.ndarray) -> tuple[int, int, str]:
     return int(gone.sum()), runs, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Shuffle files of finished steps go when their plans are collected as garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     spark = docs.sparkSession
@@ -308,13 +301,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sent = texts.where(F.col("doc_id").isNotNull()).select("text_key", "text").mapInArrow(key_parts(n_parts), "part long, keys binary, texts binary")
     answers = sent.repartition("part").sortWithinPartitions("part").mapInArrow(repeated_keys, "text_key long, keys binary")
     keys = cut(answers.groupBy("text_key").agg(F.collect_list("keys").alias("keys")).join(firsts, "text_key"))
-    free_shuffles(spark)
     # by both columns, so that many copies of a text do not meet; rows with equal id and text only repeat contexts
     met = texts.join(keys, ["text_key", "doc_id"])
     places = cut(met.select("text_key", "doc_id", "text", "keys").mapInArrow(contexts, CONTEXT))
-    free_shuffles(spark)
     distinct = cut(places.groupBy("key", "context").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.min("piece").alias("piece")))
-    free_shuffles(spark)
     hot = cut(distinct.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_CAP).select("key"))
     merged = distinct.join(hot, "key", "left_anti").select("key", "context", "least", "last", "piece").repartition("key").sortWithinPartitions("key")
     merged = merged.mapInArrow(interval_minima, "context binary, minima array<long>")
@@ -324,12 +314,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     split = each.join(low, "string").groupBy("context").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("m")).select("context", F.transform("m", lambda x: x["low"]).alias("minima"))
     name = [F.xxhash64("context").alias("n0"), F.xxhash64("context", F.lit(LENGTH)).alias("n1")]
     found = cut(merged.unionByName(split).select(*name, "minima"))
-    free_shuffles(spark)
     bits = F.transform("minima", lambda m, i: F.when(m < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     mask = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
     hits = places.select(*name, "text_key", "doc_id", "start").join(found, ["n0", "n1"]).select("text_key", "doc_id", "start", mask.alias("mask")).where("mask <> 0")
     hits = cut(hits.groupBy("text_key", "doc_id").agg(F.collect_list(F.call_function("shiftleft", F.col("start"), F.lit(RUN)).bitwiseOR(F.col("mask"))).alias("hits")))
-    free_shuffles(spark)
 
     @F.pandas_udf("n_removed long, n_spans long, sha string")
     def removed(raw: pd.Series, found: pd.Series) -> pd.DataFrame:
