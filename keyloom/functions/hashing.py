@@ -43,7 +43,7 @@ def contains(row: list[Column], query: list[Column]) -> Column:
     return out
 
 
-def xash_positions(token: Column, bits: int = 128, ones: int = 5, chars: bool = True, location: bool = True, length: bool = True, rotation: bool = True) -> Column:
+def charfeat_positions(token: Column, bits: int = 128, ones: int = 5, chars: bool = True, location: bool = True, length: bool = True, rotation: bool = True) -> Column:
     """Bit positions of the character-feature hash.
 
     The `ones` rarest characters of the token (count, then character) set one bit each: the symbol's
@@ -195,7 +195,7 @@ def murmur_bloom_positions(token: Column, bits: int = 128, hashes: int = 3) -> C
 class HashFamily:
     """A named family with its parameters; query and index must agree on all of them."""
 
-    name: str = "xash"
+    name: str = "charfeat"
     bits: int = 128
     ones: int = 5
     flags: tuple[tuple[str, bool], ...] = field(default=())
@@ -210,7 +210,7 @@ class HashFamily:
             raise ValueError(f"bits must be one of {sorted(SEGMENTS)}")
         token = F.col(column)
         shared = {
-            "xash": lambda: xash_positions(token, self.bits, self.ones, **dict(self.flags)),
+            "charfeat": lambda: charfeat_positions(token, self.bits, self.ones, **dict(self.flags)),
             "bloom": lambda: bloom_positions(token, self.bits, self.ones),
             "bloom_murmur": lambda: murmur_bloom_positions(token, self.bits, self.ones),
             "simhash": lambda: simhash_pieces(token, self.bits),
@@ -222,7 +222,7 @@ class HashFamily:
             raise ValueError(f"no hash family {self.name}")
         df = df.withColumn("_shared", shared[self.name]())
         s = F.col("_shared")
-        if self.name in ("xash", "bloom", "bloom_murmur"):
+        if self.name in ("charfeat", "bloom", "bloom_murmur"):
             lanes = lanes_of(s, self.bits)
         else:
             lanes = simhash_lanes(s, self.bits) if self.name == "simhash" else [s[k] for k in range(self.bits // 64)]
@@ -238,9 +238,9 @@ class HashFamily:
 
 
 def family(name: str, bits: int = 128, ones: int | None = None, **flags: bool) -> HashFamily:
-    """xash, bloom, bloom_murmur, md5, simhash, xx or murmur; ones -1 gives Bloom its best number for six items."""
+    """charfeat, bloom, bloom_murmur, md5, simhash, xx or murmur; ones -1 gives Bloom its best number for six items."""
     if ones is None:
-        ones = 5 if name == "xash" else 3
+        ones = 5 if name == "charfeat" else 3
     if ones == -1:
         ones = bloom_hashes(bits, 6)
     return HashFamily(name, bits, ones, tuple(sorted(flags.items())))

@@ -11,7 +11,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.functions.hashing import ALPHABET, SEGMENTS, family, lanes_of, md5_lanes, xash_positions
+from keyloom.functions.hashing import ALPHABET, SEGMENTS, family, lanes_of, md5_lanes, charfeat_positions
 from keyloom.functions.text import MISSING, clean_text, clean_text_sql, lower_all, shingles, split_list
 from keyloom.operators import coding, discover, index, metrics, query
 from keyloom.sources import corpus
@@ -91,11 +91,11 @@ def register(name: str, run, sql: str | None = None) -> None:
 
 for _n in (1, 2, 3):
     register(f"discover_scr_{_n}key", partial(q_discover, n=_n), discover_sql(_n))
-for _fam in ("xash", "md5", "bloom", "simhash", "xx", "murmur", "bloom_murmur"):
+for _fam in ("charfeat", "md5", "bloom", "simhash", "xx", "murmur", "bloom_murmur"):
     register(f"discover_{_fam}", partial(q_discover, n=2, fam=_fam), discover_sql(2))
-register("discover_xash_3key", partial(q_discover, n=3, fam="xash"), discover_sql(3))
-register("discover_injective", partial(q_discover, n=3, fam="xash", mode="injective"), discover_sql(3, "injective"))
-register("discover_pruned", partial(q_discover, n=2, fam="xash", prune=12), discover_sql(2))
+register("discover_charfeat_3key", partial(q_discover, n=3, fam="charfeat"), discover_sql(3))
+register("discover_injective", partial(q_discover, n=3, fam="charfeat", mode="injective"), discover_sql(3, "injective"))
+register("discover_pruned", partial(q_discover, n=2, fam="charfeat", prune=12), discover_sql(2))
 
 HITS_SQL = f"WITH p AS MATERIALIZED ({LAKE_SQL}), q AS (SELECT DISTINCT k0 FROM ({_query_sql(2)}))"
 COUNT_SQL = HITS_SQL + ", h AS (SELECT table_id, count(*) AS n_hits FROM p WHERE token IN (SELECT k0 FROM q) GROUP BY table_id)"
@@ -124,7 +124,7 @@ def part_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 PART_SQL = "SELECT DISTINCT token FROM (" + " UNION ALL ".join(f"SELECT lower(CAST({c} AS VARCHAR)) AS token FROM part" for c in ("p_name", "p_brand", "p_type", "p_size")) + ")"
 
 
-def xash_sql(tokens: str, bits: int, ones: int = 5, chars: bool = True, location: bool = True, length: bool = True, rotation: bool = True) -> str:
+def charfeat_sql(tokens: str, bits: int, ones: int = 5, chars: bool = True, location: bool = True, length: bool = True, rotation: bool = True) -> str:
     """CTEs up to b(token, bit)."""
     seg, area = SEGMENTS[bits], len(ALPHABET) * SEGMENTS[bits]
     rest = bits - area
@@ -141,24 +141,24 @@ f AS (SELECT token, n, c, count(*) AS cnt, CAST(sum(idx) AS BIGINT) AS s, row_nu
 b AS ({' UNION '.join(sets)})"""
 
 
-def q_xash(spark: SparkSession, sf_dir: str, bits: int, **flags: bool) -> DataFrame:
-    return part_tokens(spark, sf_dir).select("token", F.array_join(xash_positions(F.col("token"), bits, **flags), ",").alias("bits"))
+def q_charfeat(spark: SparkSession, sf_dir: str, bits: int, **flags: bool) -> DataFrame:
+    return part_tokens(spark, sf_dir).select("token", F.array_join(charfeat_positions(F.col("token"), bits, **flags), ",").alias("bits"))
 
 
 JOINED_BITS = "string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit)"
 for _bits in (64, 128, 256, 512):
-    register(f"xash_bits_{_bits}", partial(q_xash, bits=_bits), f"WITH {xash_sql(PART_SQL, _bits)} SELECT token, {JOINED_BITS} AS bits FROM b GROUP BY token")
+    register(f"charfeat_bits_{_bits}", partial(q_charfeat, bits=_bits), f"WITH {charfeat_sql(PART_SQL, _bits)} SELECT token, {JOINED_BITS} AS bits FROM b GROUP BY token")
 for _name, _flags in {
     "length": {"chars": False},
     "chars": {"location": False, "length": False, "rotation": False},
     "loc": {"length": False, "rotation": False},
     "norot": {"rotation": False},
 }.items():
-    register(f"xash_ablation_{_name}", partial(q_xash, bits=128, **_flags), f"WITH {xash_sql(PART_SQL, 128, **_flags)} SELECT token, {JOINED_BITS} AS bits FROM b GROUP BY token")
+    register(f"charfeat_ablation_{_name}", partial(q_charfeat, bits=128, **_flags), f"WITH {charfeat_sql(PART_SQL, 128, **_flags)} SELECT token, {JOINED_BITS} AS bits FROM b GROUP BY token")
 
 
 def q_superkey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fam = family("xash")
+    fam = family("charfeat")
     keys = index.row_keys(lake(spark, sf_dir), fam)
 
     def set_bits(k: int) -> F.Column:
@@ -170,7 +170,7 @@ def q_superkey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select("table_id", "row_id", F.array_join(each, ",").alias("bits"))
 
 
-register("superkey_128", q_superkey, f"WITH p AS MATERIALIZED ({LAKE_SQL}), {xash_sql('SELECT DISTINCT token FROM p', 128)} SELECT table_id, row_id, {JOINED_BITS} AS bits FROM (SELECT DISTINCT table_id, row_id, bit FROM p JOIN b USING (token)) GROUP BY table_id, row_id")
+register("superkey_128", q_superkey, f"WITH p AS MATERIALIZED ({LAKE_SQL}), {charfeat_sql('SELECT DISTINCT token FROM p', 128)} SELECT table_id, row_id, {JOINED_BITS} AS bits FROM (SELECT DISTINCT table_id, row_id, bit FROM p JOIN b USING (token)) GROUP BY table_id, row_id")
 
 
 def q_mcr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +192,7 @@ def q_precision(spark: SparkSession, sf_dir: str, fam: str) -> DataFrame:
 def precision_sql() -> str:
     """Approved pairs from bit lists: no bit of the query's keys is missing in the row."""
     pairs = _pairs_sql(2)
-    bits = xash_sql("SELECT DISTINCT token FROM p UNION SELECT k0 FROM q UNION SELECT k1 FROM q", 128)
+    bits = charfeat_sql("SELECT DISTINCT token FROM p UNION SELECT k0 FROM q UNION SELECT k1 FROM q", 128)
     return (
         pairs
         + f""", {bits},
@@ -204,7 +204,7 @@ SELECT approved, matched, approved - matched AS false_positives, matched / appro
     )
 
 
-register("filter_precision", partial(q_precision, fam="xash"), precision_sql())
+register("filter_precision", partial(q_precision, fam="charfeat"), precision_sql())
 register("filter_precision_md5", partial(q_precision, fam="md5"))
 register("approved_rows", lambda s, d: metrics.approved_rows(lake(s, d), keys_query(s, d, 2), None), HITS_SQL + " SELECT table_id, count(DISTINCT row_id) AS n_rows FROM p WHERE token IN (SELECT k0 FROM q) GROUP BY table_id")
 register("md5_lanes", lambda s, d: part_tokens(s, d).select("token", *[x.cast("string").alias(f"sk{k}") for k, x in enumerate(md5_lanes(F.col("token")))]),

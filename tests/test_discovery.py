@@ -7,7 +7,7 @@ from keyloom.sources import corpus
 from keyloom.streaming.ingest import append_to_index
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["xash", "bloom", "md5", "xx", "simhash", "murmur"]
+NAMES = ["charfeat", "bloom", "md5", "xx", "simhash", "murmur"]
 
 
 @pytest.fixture(scope="module")
@@ -99,18 +99,18 @@ def test_published_vectors(spark, n, cols, keys, expect):
 
 def test_index_round_trip(spark, small, tmp_path):
     lake, q = small
-    fam = family("xash")
+    fam = family("charfeat")
     index.write_index(index.build_index(lake, fam), fam, str(tmp_path / "i"))
     at, read = index.read_index(spark, str(tmp_path / "i"), fam)
     assert read == fam and rows(discover.discover(at, q, 5, read)) == rows(discover.discover(lake, q, 5))
     with pytest.raises(ValueError):
-        index.read_index(spark, str(tmp_path / "i"), family("xash", ones=6))
+        index.read_index(spark, str(tmp_path / "i"), family("charfeat", ones=6))
 
 
 def test_stream_grows_the_index(spark, small, tmp_path):
     lake, q = small
     lake.write.parquet(str(tmp_path / "in"))
-    fam = family("xash")
+    fam = family("charfeat")
     stream = spark.readStream.schema(lake.schema).parquet(str(tmp_path / "in"))
     append_to_index(stream, fam, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     at = spark.read.parquet(str(tmp_path / "out")).drop("batch")

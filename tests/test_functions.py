@@ -17,7 +17,7 @@ CLEANED = {
     "Unknown": "unknown",
 }
 
-XASH = {
+CHARFEAT = {
     "": ([37], [111], 0, 140737488355328),
     "a": ([12, 38], [39, 112], 549755813888, 281474976710656),
     "usa": ([15, 33, 35, 40], [1, 53, 106, 114], 9007199254740994, 1130297953353728),
@@ -39,16 +39,16 @@ def test_cleaning(spark):
     assert got == CLEANED
 
 
-def test_xash_positions_and_lanes(spark):
-    df = tokens(spark, XASH).select("token", hashing.xash_positions(F.col("token"), 64).alias("a"), hashing.xash_positions(F.col("token"), 128).alias("b"))
-    df = hashing.family("xash").attach(df, "token")
+def test_charfeat_positions_and_lanes(spark):
+    df = tokens(spark, CHARFEAT).select("token", hashing.charfeat_positions(F.col("token"), 64).alias("a"), hashing.charfeat_positions(F.col("token"), 128).alias("b"))
+    df = hashing.family("charfeat").attach(df, "token")
     got = {r["token"]: (r["a"], r["b"], r["sk0"], r["sk1"]) for r in df.collect()}
-    assert got == XASH
+    assert got == CHARFEAT
 
 
-def test_xash_sizes_and_ones(spark):
+def test_charfeat_sizes_and_ones(spark):
     g = tokens(spark, ["germany"])
-    pos = lambda **k: g.select(hashing.xash_positions(F.col("token"), **k)).first()[0]
+    pos = lambda **k: g.select(hashing.charfeat_positions(F.col("token"), **k)).first()[0]
     assert pos(bits=256) == [114, 135, 147, 185, 193, 229]
     assert pos(bits=512) == [258, 304, 329, 412, 429, 488]
     assert pos(bits=128, ones=6) == [4, 8, 18, 79, 90, 96, 118]
@@ -61,7 +61,7 @@ def test_murmur_vectors():
     assert hashing.murmur3_128(b"") == (0, 0)
 
 
-@pytest.mark.parametrize("name", ["xash", "bloom", "bloom_murmur", "md5", "simhash", "xx", "murmur"])
+@pytest.mark.parametrize("name", ["charfeat", "bloom", "bloom_murmur", "md5", "simhash", "xx", "murmur"])
 @pytest.mark.parametrize("bits", [64, 128, 256])
 def test_families_are_stable_and_sized(spark, name, bits):
     fam = hashing.family(name, bits)
@@ -74,7 +74,7 @@ def test_unknown_family_and_size(spark):
     with pytest.raises(ValueError):
         hashing.family("city").attach(tokens(spark, ["a"]), "token")
     with pytest.raises(ValueError):
-        hashing.family("xash", 100).attach(tokens(spark, ["a"]), "token")
+        hashing.family("charfeat", 100).attach(tokens(spark, ["a"]), "token")
 
 
 def test_bloom_sizing():
