@@ -189,14 +189,17 @@ def q_precision(spark: SparkSession, sf_dir: str, fam: str) -> DataFrame:
     return metrics.filter_precision(index.build_index(lake(spark, sf_dir), chosen), keys_query(spark, sf_dir, 2), chosen)
 
 
-def precision_sql() -> str:
-    """Approved pairs from bit lists: no bit of the query's keys is missing in the row."""
-    pairs = _pairs_sql(2)
-    bits = charfeat_sql("SELECT DISTINCT token FROM p UNION SELECT k0 FROM q UNION SELECT k1 FROM q", 128)
+def precision_sql(fam: str) -> str:
+    """Approved pairs from whole keys: no bit of the query's keys is missing in the row."""
+    tokens = "SELECT DISTINCT token FROM p UNION SELECT k0 FROM q UNION SELECT k1 FROM q"
+    if fam == "charfeat":
+        hashed = f"{charfeat_sql(tokens, 128)}, x AS MATERIALIZED (SELECT token, bit_or(CAST(1 AS UHUGEINT) << CAST(bit AS UHUGEINT)) AS h FROM b GROUP BY token)"
+    else:
+        half = "CAST(CAST('0x' || substr(md5(token), {}, 16) AS UBIGINT) AS UHUGEINT)"
+        hashed = f"x AS MATERIALIZED (SELECT token, ({half.format(1)} << CAST(64 AS UHUGEINT)) | {half.format(17)} AS h FROM ({tokens}))"
     return (
-        pairs
-        + f""", {bits},
-x AS MATERIALIZED (SELECT token, bit_or(CAST(1 AS UHUGEINT) << CAST(bit AS UHUGEINT)) AS h FROM b GROUP BY token),
+        _pairs_sql(2)
+        + f""", {hashed},
 rk AS (SELECT table_id, row_id, bit_or(h) AS h FROM p JOIN x USING (token) GROUP BY table_id, row_id),
 ok AS (SELECT count(*) AS approved FROM cand JOIN rk USING (table_id, row_id) JOIN x AS a ON a.token = k0 JOIN x AS c ON c.token = k1 WHERE ((a.h | c.h) & rk.h) = (a.h | c.h)),
 mt AS (SELECT count(*) AS matched FROM pairs)
@@ -204,8 +207,8 @@ SELECT approved, matched, approved - matched AS false_positives, matched / appro
     )
 
 
-register("filter_precision", partial(q_precision, fam="charfeat"), precision_sql())
-register("filter_precision_md5", partial(q_precision, fam="md5"))
+register("filter_precision", partial(q_precision, fam="charfeat"), precision_sql("charfeat"))
+register("filter_precision_md5", partial(q_precision, fam="md5"), precision_sql("md5"))
 register("approved_rows", lambda s, d: metrics.approved_rows(lake(s, d), keys_query(s, d, 2), None), HITS_SQL + " SELECT table_id, count(DISTINCT row_id) AS n_rows FROM p WHERE token IN (SELECT k0 FROM q) GROUP BY table_id")
 register("md5_lanes", lambda s, d: part_tokens(s, d).select("token", *[x.cast("string").alias(f"sk{k}") for k, x in enumerate(md5_lanes(F.col("token")))]),
          f"""WITH t AS ({PART_SQL}), h AS (SELECT token, CAST('0x' || substr(md5(token), 17, 16) AS UBIGINT) AS lo, CAST('0x' || substr(md5(token), 1, 16) AS UBIGINT) AS hi FROM t)
