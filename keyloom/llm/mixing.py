@@ -130,7 +130,7 @@ w{k}_{d} AS MATERIALIZED (SELECT source, lang, topic, tokens, w * goal / sum(w)
         + f""",
 p AS (SELECT source, lang, topic, (w / tokens) / max(w / tokens) OVER () AS p FROM {last})
 SELECT doc_id, source, lang, topic, CAST(n_tokens AS BIGINT) AS n_tokens, round(p, 9) AS p,
-  CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 < p AS sampled
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0 < p AS sampled
 FROM r JOIN p USING (source, lang, topic)"""
     )
 

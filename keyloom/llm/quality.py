@@ -118,18 +118,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, source, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT rid, doc_id, source, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
       list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
-b AS (SELECT doc_id, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+b AS (SELECT rid, doc_id, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
       length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
       len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM w),
-win AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 8], ' ') AS win
-        FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 7)) AS i FROM w WHERE len(ws) >= 8)),
-rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM win) WHERE n > 1),
-cov AS (SELECT doc_id, sum(least(8, nxt - i)) AS n FROM (
-        SELECT doc_id, i, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), i + 8) AS nxt FROM rep) GROUP BY doc_id),
-r AS (SELECT b.*, coalesce(cov.n, 0) AS n_repeat_words FROM b LEFT JOIN cov USING (doc_id)),
+win AS (SELECT rid, i, array_to_string(ws[i + 1:i + 8], ' ') AS win
+        FROM (SELECT rid, ws, unnest(range(0, len(ws) - 7)) AS i FROM w WHERE len(ws) >= 8)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM win) WHERE n > 1),
+cov AS (SELECT rid, sum(least(8, nxt - i)) AS n FROM (
+        SELECT rid, i, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i), i + 8) AS nxt FROM rep) GROUP BY rid),
+r AS (SELECT b.*, coalesce(cov.n, 0) AS n_repeat_words FROM b LEFT JOIN cov USING (rid)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM r),
 h AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS failed FROM f GROUP BY source),
 p AS (SELECT f / n AS m, q / n - (f / n) * (f / n) - (f / n) * (1 - f / n) * h / n AS v FROM (

@@ -20,4 +20,5 @@ QUERIES = {
 ORACLES = {
     "op3_raked_mix": mixing.ORACLE,
     "op4_host_quality": quality.ORACLE,
+    "op10_decontaminate": decontam.ORACLE,
 }
