@@ -62,10 +62,14 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
 def fingerprint(raw: bytes | None, k: int = SHINGLE) -> int:
     """The unsigned fingerprint of a UTF-8 text."""
     words = (raw or b"").lower().split()  # on bytes: ASCII letters and white space only
-    if not words:
+    return majority(shingle_hashes(words, k))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half the hashes; zero for none."""
+    if not len(hashes):
         return 0
     table_ = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-    hashes = shingle_hashes(words, k)
     ones = np.zeros((8, 8), np.int64)
     for at in range(0, len(hashes), CHUNK):
         by = hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8)
@@ -183,7 +187,11 @@ def links(fps: DataFrame, radius: int = RADIUS, cap: int = SHARD_CAP) -> DataFra
         mask = sum(((1 << BLOCKS[i]) - 1) << at[i] for i in pair)
         mask -= (mask >> 63) << 64
         filed.append(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(mask)).alias("k")))
-    rows = fps.select("fp", F.explode(F.array(*filed)).alias("s")).select("fp", "s.t", "s.k")
+    return search_filed(fps.select("fp", F.explode(F.array(*filed)).alias("s")).select("fp", "s.t", "s.k"), radius, cap)
+
+
+def search_filed(rows: DataFrame, radius: int, cap: int = SHARD_CAP) -> DataFrame:
+    """From distinct (fp, t, k) the links (a, b) that span all pairs of a shard (t, k) within the radius."""
     shards = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / F.lit(cap)).cast("long")
     own = F.pmod(F.xxhash64("fp"), "chunks")
