@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from keyloom.llm.common import cut, table
 from keyloom.llm.decontam import decontam_stage
 from keyloom.llm.mixing import mix_stage
+from keyloom.llm.neardup import near_dedup_stage
 from keyloom.llm.quality import quality_stage
 from keyloom.llm.sharding import shard_stage
-from keyloom.llm.simhash import near_dedup_stage
 
 STAGES = [
     ("quality_rules", quality_stage),
@@ -23,7 +23,7 @@ STAGES = [
     ("sharding", shard_stage),
 ]
 
-#: SQL has no SimHash; tests/llm/test_pipeline.py holds run() against a brute-force version.
+#: SQL has no components of near copies; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
