@@ -43,6 +43,27 @@ def simhash(rows):
     return [(d, f"{f:016x}", least.get(find(f))) for (d, _), f in zip(rows, fp, strict=True)]
 
 
+def near_groups(texts, k=5):
+    """The group of each text: least index reached over pairs with a shingle similarity of 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = re.findall(GAP, fold(t))
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b) > 0:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
 def quality(text):
     text = text or ""
     w = re.findall(GAP, text)
