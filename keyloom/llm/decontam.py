@@ -5,9 +5,11 @@ shorter item) is a pattern. Every document is normalised byte by byte, so that e
 normalised byte sits where its original does; one pass of the automaton over the joined words
 finds all windows of all items, and word offsets map back to the original.
 
-The automaton is broadcast only while the benchmark has at most MAX_WINDOWS windows. A
-larger benchmark is dealt into as many blocks of items as that takes, each block
-has an automaton of its own, and word positions of all blocks are united per document.
+A task builds its automaton from broadcast items, of at most MAX_CHARS characters together. A larger benchmark is
+dealt into as many blocks of items as that takes. The first block is scanned where the documents are read; each
+other block is a scan of its own, so that no worker holds two automata, and what it finds is joined to
+the documents, which are written once for that. One item is never cut: the longest item is the bound if it is
+longer than MAX_CHARS.
 
 Defined cases: null or wordless texts have no words and no hits; an item without
 words is ignored; a null item_id marks hits but is not listed; repeated items count once; an empty
@@ -19,23 +21,24 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean_batches, pack, table, unpack
+from .common import cut, lean_batches, pack, table, unpack
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPAN = 13
 #: Hit words are at least a twentieth of the words of a contaminated document.
 HIT_SHARE = 20
-#: Windows of one broadcast automaton at most (some 100 MB).
-MAX_WINDOWS = 300_000
+#: Characters of the items of one automaton: at most 13 nodes of about 51 bytes each, so 200 MB.
+MAX_CHARS = 300_000
 
 #: Bytes that are no part of words become spaces, A-Z become lower case.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -115,46 +118,45 @@ def scanner(shared):
     return block
 
 
-def item_blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> list[list[tuple]]:
-    """Distinct items in blocks of at most `limit` windows; a block is all that the driver and a broadcast hold."""
+def item_blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple]]:
+    """Distinct items in blocks of about `limit` characters; a block is all that the driver and a broadcast hold."""
     rows = benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).where("t is not null").distinct()
     size = rows.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
-    n = max(1, -(-size // (2 * limit)))  # a word and its gap are two characters at least
-    if n == 1:
-        return [[tuple(r) for r in rows.collect()]]
+    n = max(1, -(-size // limit))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
-    return ([tuple(r)[:2] for r in rows.where(F.col("b") == b).collect()] for b in range(n))
+    for b in range(n):
+        yield [tuple(r) for r in rows.where(F.col("b") == b).select("i", "t").collect()]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """`row` (all columns of docs), n_words, hits (intervals of word positions), n_hit, item_ids (sorted strings).
+def united_column(hits: Column) -> Column:
+    """Overlapping and touching intervals made one."""
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    last = lambda acc: F.element_at(acc, -1)
+    longer = lambda acc, s: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["a"].alias("a"), F.greatest(last(acc)["b"], s["b"]).alias("b"))))
+    return F.aggregate(F.array_sort(hits), none, lambda acc, s: F.when((F.size(acc) > 0) & (last(acc)["b"] >= s["a"]), longer(acc, s)).otherwise(F.concat(acc, F.array(s))))
 
-    Each block of items adds one column to the same scan, so no document is shuffled.
-    """
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", max_chars: int = MAX_CHARS) -> DataFrame:
+    """`row` (all columns of docs), n_words, hits (intervals of word positions), n_hit, item_ids (sorted strings)."""
     spark = docs.sparkSession
     lean_batches(spark)
-    out = pack(docs)
-    names = []
-    for k, items in enumerate(item_blocks(benchmark, item, item_text, max_windows)):
-        block = scanner(spark.sparkContext.broadcast(items))
-        names.append(f"_b{k}")
-        out = out.withColumn(names[-1], block(F.col("row")[text].cast("binary")))
-    hits = F.flatten(F.array(*[F.col(n)["hits"] for n in names]))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(n)["items"] for n in names]))))
-    merged = F.aggregate(
-        F.array_sort(hits),
-        F.array().cast("array<struct<a:bigint,b:bigint>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= s["a"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], s["b"]).alias("b")))),
-        ).otherwise(F.concat(acc, F.array(s))),
-    ) if len(names) > 1 else hits
-    return out.select("row", F.col(names[0])["n_words"].alias("n_words"), merged.alias("hits"), items.alias("item_ids")).withColumn(
-        "n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
-    )
-
-
-def contaminated() -> F.Column:
+    body = F.col("row")[text].cast("binary")
+    scan_of = lambda items: scanner(spark.sparkContext.broadcast(items))(body).alias("f")
+    first, *others = [scan_of(items) for items in item_blocks(benchmark, item, item_text, max_chars)]
+    if not others:
+        out = pack(docs).select("row", first).select("row", "f.n_words", "f.hits", F.array_sort("f.items").alias("item_ids"))
+    else:
+        rows = cut(pack(docs).withColumn("rid", F.monotonically_increasing_id()))
+        found = reduce(DataFrame.union, [rows.select("rid", f).select("rid", "f.hits", "f.items").where(F.size("hits") > 0) for f in others])
+        more = cut(found.groupBy("rid").agg(F.flatten(F.collect_list("hits")).alias("h"), F.flatten(F.collect_list("items")).alias("i")).withColumnRenamed("rid", "r"))
+        met = rows.select("row", "rid", first).join(more, F.col("rid") == F.col("r"), "left")
+        hits = F.when(F.col("h").isNull(), F.col("f.hits")).otherwise(united_column(F.concat("f.hits", "h")))
+        ids = F.when(F.col("i").isNull(), F.col("f.items")).otherwise(F.concat("f.items", "i"))
+        out = met.select("row", "f.n_words", hits.alias("hits"), F.array_sort(F.array_distinct(ids)).alias("item_ids"))
+    return out.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"]))
+
+
+def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (HIT_SHARE * F.col("n_hit") >= F.col("n_words"))
 
 

@@ -271,7 +271,7 @@ def test_decontamination(spark, folders):
         want = ordered(brute.decontaminate(rows, items))
         assert ordered(decontam.op10_decontaminate(spark, d).collect()) == want
         docs, bench = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "benchmark"))
-        split = decontam.find_hits(docs.select("doc_id", "text"), bench, max_windows=40)  # many blocks of items
+        split = decontam.find_hits(docs.select("doc_id", "text"), bench, max_chars=sum(len(t or "") for _, t in items) // 6)  # seven blocks of items
         assert ordered((r["row"]["doc_id"], r["n_words"], r["n_hit"], len(r["item_ids"])) for r in split.collect()) == ordered(x[:4] for x in want)
 
 
