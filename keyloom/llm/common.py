@@ -14,6 +14,9 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: A batch ends at the row that takes it to this size.
+BATCH_BYTES = 4 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -74,8 +77,9 @@ def _clean() -> None:
 
 
 def lean_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Small Arrow batches: texts can be long, and a Python worker holds a batch at a time."""
+    """Small Arrow batches, in rows and in bytes: texts can be long, and a Python worker holds a batch at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

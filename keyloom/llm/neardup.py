@@ -44,7 +44,7 @@ SIMILAR = (4, 5)
 BANDS, ROWS = 24, 5
 RADIUS = 20
 CHUNK_ROWS = 4096
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 #: Shingles whose minima are taken in one step.
 STEP = 1 << 12
 MULTIPLY = np.array([xxhash.xxh64_intdigest(b"multiply %d" % i) | 1 for i in range(BANDS * ROWS)], np.uint64)
@@ -139,8 +139,8 @@ def _compare(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(members: dict) -> pa.RecordBatch:
             sid = np.array(list(members), np.int64)
-            sets = [shingle_set(t, k) for _, t in members.values()]
-            a, b = exact_links(sid, sets, np.array([f for f, _ in members.values()], np.int64).view(np.uint64))
+            fp = np.array([f for f, _ in members.values()], np.int64).view(np.uint64)
+            a, b = exact_links(sid, [s for _, s in members.values()], fp)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         group, members = None, {}
@@ -150,7 +150,7 @@ def _compare(k: int):
                     if len(members) > 1:
                         yield flush(members)
                     group, members = key, {}
-                members[sid] = (fp, text)
+                members[sid] = (fp, shingle_set(text, k))
         if len(members) > 1:
             yield flush(members)
 

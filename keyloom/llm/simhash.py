@@ -49,6 +49,8 @@ SHARD_CAP = 1 << 14
 #: Fingerprints whose shards are searched in one batch, about.
 BATCH = 1 << 16
 CHUNK = 1 << 16
+#: Visits of nodes that the queries of one search may make, about: some ten arrays of that length.
+VISITS = 1 << 20
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -143,7 +145,7 @@ def forest_links(group: np.ndarray, value: np.ndarray, radius: int) -> tuple[np.
     """Links that join all values of a group that are within the radius of each other."""
     forest = Forest(group, value)
     size = np.bincount(forest.root, minlength=len(value))[forest.root]
-    step = np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + 1, 1 << 22)[1:]) if size.sum() > 1 << 22 else []
+    step = np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + 1, VISITS)[1:]) if size.sum() > VISITS else []
     ends = np.unique(np.concatenate([[0], np.asarray(step, np.int64), [len(value)]]))
     root = spanning(len(value), (forest.near(np.arange(a, b), radius) for a, b in zip(ends[:-1], ends[1:], strict=True)))
     moved = np.flatnonzero(root != np.arange(len(value)))
