@@ -3,7 +3,7 @@
 Texts are sets of five-word shingles, and two are linked when their sets have a similarity (Jaccard) of 0.8
 or more. Such pairs differ in about ten of 64 fingerprint bits, too many for shards by
 bit blocks. So fingerprints are filed by MinHash bands instead: a pair at 0.8 shares one of BANDS bands of
-ROWS minima with probability 1 - (1 - 0.8**5)**24 > 0.9999. Each shard has a BK-tree, searched within
+ROWS minima with probability 1 - (1 - 0.8**4)**20 > 0.9999. Each shard has a BK-tree, searched within
 RADIUS bits (over three standard deviations above the mean at 0.8), and returns the links of a
 spanning forest. Their components are candidates only: whatever is linked lies in one
 of them. Inside a component all pairs of texts within the radius and not yet joined are compared exactly, and the
@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, lean_batches, pack
 from .components import components
-from .simhash import majority, search_filed
+from .simhash import SHARD_CAP, majority, search_shards
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE = 5
 SIMILAR = (4, 5)
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 20, 4
 RADIUS = 20
 CHUNK_ROWS = 4096
 CHUNK_BYTES = 4 << 20
@@ -157,10 +157,24 @@ def _compare(k: int):
     return run
 
 
-def candidates(named: DataFrame) -> DataFrame:
-    """From (sid, fp, keys) the rows (fp, root) of all fingerprints that share a shard within the radius."""
-    filed = named.select("fp", F.posexplode("keys").alias("t", "k")).distinct()
-    return components(search_filed(filed, RADIUS))
+def candidates(named: DataFrame, cap: int = SHARD_CAP) -> DataFrame:
+    """From (fp, keys) the rows (node, root) of all fingerprints that share a shard within the radius.
+
+    All rows are dealt by shard once; only the shards of over cap rows, one for every cap rows at most, are met by a join.
+    """
+    filed = named.select("fp", F.posexplode("keys").alias("t", "k"))
+    hot = cut(filed.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > cap))
+    hot = hot.select(F.col("t").alias("ht"), F.col("k").alias("hk"), F.ceil(F.col("n") / F.lit(cap)).cast("long").alias("chunks"))
+    met = filed.join(hot, (F.col("t") == F.col("ht")) & (F.col("k") == F.col("hk")), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+    dealt = met.select("t", "k", F.explode(chunk_pairs(F.xxhash64("fp"))).alias("g"), "fp").select("t", "k", "g.i", "g.j", "fp")
+    found = dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "fp").mapInArrow(search_shards(RADIUS), "a long, b long")
+    return components(found)
+
+
+def chunk_pairs(number: Column) -> Column:
+    """The pairs (i, j) of chunks that a member meets the others of its group in; column `chunks` has their count."""
+    own = F.pmod(number, F.col("chunks"))
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, chunk_rows: int = CHUNK_ROWS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -178,21 +192,28 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     size = rooted.groupBy("root").agg(F.count("*").alias("n"), F.sum("least.bytes").alias("m")).where("n > 1")
     chunks = F.greatest(F.ceil(F.col("n") / F.lit(chunk_rows)), F.ceil(F.col("m") / F.lit(chunk_bytes)), F.lit(1)).cast("long")
     members = cut(rooted.join(size.select("root", chunks.alias("chunks")), "root").select("least.none", "least.id", "least.hash", "sid", "fp", "root", "chunks"))
-    own = F.pmod(F.xxhash64("sid"), "chunks")
-    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     texts = rows.select(*key, body.alias("t")).join(members, ["none", "id", "hash"])
-    dealt = texts.select("root", F.explode(each).alias("g"), "sid", "fp", "t").select("root", "g.i", "g.j", "sid", "fp", "t")
+    dealt = texts.select("root", F.explode(chunk_pairs(F.xxhash64("sid"))).alias("g"), "sid", "fp", "t").select("root", "g.i", "g.j", "sid", "fp", "t")
     found = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_compare(k), "a long, b long")
-    return winners(rows, key, rooted.select("sid", "least"), components(found))
+    return winners(rows, key, sigs.select("ident", "sid"), rooted.select("sid", "least"), components(found))
+
 
+def winners(rows: DataFrame, key: list[Column], sigs: DataFrame, named: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows whose ident is the least of their group, and of rows with equal idents one.
 
-def winners(rows: DataFrame, key: list[Column], named: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows whose ident is the least of their group; texts are met again by ident, so that they move once."""
-    placed = named.join(groups.select(F.col("node").alias("sid"), "root"), "sid", "left").select(F.coalesce("root", "sid").alias("root"), "least")
-    won = placed.groupBy("root").agg(F.min("least").alias("w")).select("w.none", "w.id", "w.hash")
-    met = rows.select("row", *key).join(won, ["none", "id", "hash"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("none", "id", "hash").orderBy(F.lit(1)))
-    return met.withColumn("_n", first).where("_n = 1").select("row.*")
+    The idents that go are fewer than those that stay: they are written, and rows are held against them.
+    """
+    placed = named.join(groups.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "least")
+    won = placed.groupBy("root").agg(F.min("least").alias("won"))
+    gone = sigs.join(placed.join(won, "root").select("sid", "won"), "sid").where("ident <> won").select("ident")
+    again = sigs.groupBy("ident").agg(F.count("*").alias("n")).where("n > 1").select("ident")
+    names = ["none", "id", "hash"]
+    gone, again = (cut(x.distinct().select("ident.none", "ident.id", "ident.hash")) for x in (gone, again))
+    here = rows.select("row", *key)
+    once = here.join(gone.union(again), names, "left_anti").select("row")
+    first = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1)))
+    repeated = here.join(again.join(gone, names, "left_anti"), names, "left_semi").withColumn("_n", first).where("_n = 1").select("row")
+    return once.union(repeated).select("row.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,6 +159,9 @@ def search_shards(radius: int):
         def flush(keys: list[np.ndarray], fp: np.ndarray) -> pa.RecordBatch:
             new = np.ones(len(fp), bool)
             new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            once = new.copy()  # rows are sorted: equal fingerprints of a shard are neighbours
+            once[1:] |= fp[1:] != fp[:-1]
+            new, fp = new[once], fp[once]
             a, b = forest_links(np.cumsum(new), fp.view(np.uint64), radius)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
