@@ -3,7 +3,9 @@
 A tokenizer and tree builder with implied tags (p, li, dd, dt, table parts, options; unclosed elements end
 with their parent or the page), then a renderer: elements that a browser would not show are left out
 (head, scripts, templates, `hidden`, display:none, visibility:hidden, closed details but for
-the summary), everything else is kept, menus and footers too. Blocks stand on lines of their own, paragraphs
+the summary), everything else is kept, menus and footers too. Formulas (MathML) and the labels of drawings
+(SVG) are inline text, labels, fractions and matrix cells with spaces around; of these only what is not drawn
+goes (UNDRAWN, display="none"). A `use` is not followed. Blocks stand on lines of their own, paragraphs
 and headings with an empty line around, list items are marked and indented, preformatted text keeps its
 spaces, table cells are padded to columns.
 
@@ -33,7 +35,13 @@ ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript noframes noembed iframe object audio video canvas svg math datalist title meta link base param source track area".split())
+UNSEEN = frozenset("head script style template noscript noframes noembed iframe object audio video canvas datalist title meta link base param source track area".split())
+#: Inside svg and math these are tags of their own, "svg" before the name.
+UNDRAWN = frozenset("title desc metadata defs annotation annotation-xml mphantom".split())
+DRAWN = UNDRAWN | frozenset("text tspan".split())
+UNSEEN |= {f"svg {t}" for t in UNDRAWN}
+DRAWINGS = frozenset(("svg", "g"))
+APART = frozenset(("svg text", "mfrac", "mtr", "mtd"))  # as are the parts of an mfrac
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset".split())
 BLOCKS = PARAGRAPHS | frozenset("html body div section article nav aside header footer main address form li dt dd tr caption thead tbody tfoot details summary figcaption hr legend center dir menu option".split())
 #: A start tag on the left ends an open element on the right, not beyond the scope.
@@ -82,12 +90,21 @@ def parse(page: str) -> Node:
         if hit:
             del stack[hit:]
 
+    def drawing() -> bool:
+        return any(n.tag in ("svg", "math") for n in stack)
+
     while m := TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         if not m[2]:
+            if m[0].startswith("<![CDATA[") and drawing():
+                close_at = page.find("]]>", m.start())
+                stack[-1].kids.append(page[m.start() + 9 : close_at if close_at >= 0 else len(page)])
+                at = close_at + 3 if close_at >= 0 else len(page)
             continue
         tag = m[2].lower()
+        if tag in DRAWN and drawing():
+            tag = f"svg {tag}"
         if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -109,12 +126,13 @@ def parse(page: str) -> Node:
             end(*ENDS[tag])
         node = Node(tag, attrs)
         stack[-1].kids.append(node)
-        if tag in RAW:
+        empty = m[3].rstrip().endswith("/")
+        if tag in RAW and not (empty and drawing()):
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             inner = page[at : close.start() if close else len(page)]
             node.kids.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
             at = close.end() if close else len(page)
-        elif tag not in VOID and not m[3].rstrip().endswith("/") and len(stack) < DEPTH:
+        elif tag not in VOID and not empty and len(stack) < DEPTH:
             stack.append(node)
     text(page[at:])
     return root
@@ -124,6 +142,8 @@ def unseen(node: Node) -> bool:
     a = node.attrs
     if node.tag in UNSEEN or "hidden" in a:
         return True
+    if (node.tag in DRAWINGS or node.tag.startswith("svg ")) and (a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")):
+        return True
     return bool(a) and (bool(HIDING.search(a.get("style", ""))) or (node.tag == "input" and a.get("type", "").lower() == "hidden"))
 
 
@@ -167,7 +187,8 @@ class Lines:
 def render(node: Node, out: Lines) -> None:
     for kid in node.kids:
         if isinstance(kid, str):
-            out.inline(kid)
+            if node.tag not in DRAWINGS or not kid.isspace():
+                out.inline(kid)
             continue
         tag = kid.tag
         if unseen(kid):
@@ -199,10 +220,13 @@ def render(node: Node, out: Lines) -> None:
             for x in kid.kids:
                 if isinstance(x, Node) and x.tag == "summary":
                     out.whole(block(x))
-        elif tag == "textarea" or tag == "button":
+        elif tag == "textarea" or tag == "button" or tag in APART or node.tag == "mfrac":
             out.inline(" ")
             render(kid, out)
             out.inline(" ")
+        elif tag == "svg tspan" and not kid.attrs.keys().isdisjoint("xy"):
+            out.inline(" ")
+            render(kid, out)
         elif tag in BLOCKS:
             (out.gap if tag in PARAGRAPHS else out.close)()
             render(kid, out)
@@ -218,7 +242,7 @@ def block(node: Node) -> list[str]:
 
 
 def plain(node: Node) -> str:
-    return "".join(k if isinstance(k, str) else "\n" if k.tag == "br" else "" if unseen(k) else plain(k) for k in node.kids)
+    return "".join(k if isinstance(k, str) else "\n" if k.tag == "br" else "" if unseen(k) else f" {plain(k)} " if k.tag in APART else plain(k) for k in node.kids)
 
 
 def list_lines(node: Node) -> list[str]:

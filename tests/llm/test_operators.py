@@ -239,6 +239,19 @@ def test_pages():
     assert pages.page_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_formulas_and_labels_of_drawings_stay():
+    cases_ = {
+        "a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b": "a x=2 b",
+        "<math><semantics><mfrac><mn>1</mn><mi>y</mi></mfrac><annotation encoding=tex>\\frac</annotation><annotation-xml>q</annotation-xml></semantics></math>": "1 y",
+        "<p>Sales<svg>\n<title>t</title><desc>d</desc><metadata>m</metadata><defs><text>n</text></defs>\n<g><text>Jan</text><text>Feb</text></g></svg>up": "Sales Jan Feb up",
+        "<svg><title/><text>a<tspan x=0>b</tspan><tspan>c</tspan></text><style/><text display=none>h</text></svg>z": "a bc z",
+        "<svg><text><![CDATA[1 > 0 & b]]></text></svg>": "1 > 0 & b", "x<svg> <path d='M0'/> </svg>y": "xy", "a<desc>b</desc>": "ab",
+        "<ul><li><svg><text>l</text></svg></ul><table><tr><td><math><mi>t</mi></math></table><pre>p<svg><text>q</text></svg></pre>": "- l\n\nt\n\np q ",
+    }
+    for html, want in cases_.items():
+        assert pages.page_text(html) == want, html
+
+
 def test_all_visible_words_stay(spark):
     for r in pages.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect():
         raw = re.sub(r"(?s)<head>.*?</head>|<!--.*?-->", " ", r["row"]["html"])
