@@ -4,9 +4,11 @@ Texts are sets of five-word shingles, and two are linked when their sets have a
 or more. Such pairs differ in about ten of 64 fingerprint bits, too many for shards by
 bit blocks. So fingerprints are filed by MinHash bands instead: a pair at 0.8 shares one of BANDS bands of
 ROWS minima with probability 1 - (1 - 0.8**4)**20 > 0.9999. Each shard has a BK-tree, searched within
-RADIUS bits (over three standard deviations above the mean at 0.8), and returns the links of a
-spanning forest. Their components are candidates only: whatever is linked lies in one
-of them. Inside a component all pairs of texts within the radius and not yet joined are compared exactly, and the
+RADIUS bits, and returns the links of a spanning forest. By binomial tails over 64 independent bits a pair at 0.8 is
+further apart with probability 7e-6 at most; only 4 against 5 shingles differ more (1e-4), so sets of up to SMALL
+shingles are filed a second time and searched within SMALL_RADIUS bits (1e-6). With the bands (3e-5) a pair at 0.8 is
+missed with probability 4e-5 at most, and more similar ones less. The components are candidates only:
+inside one all pairs of texts not yet joined are compared exactly, whatever their bits, and the
 components of the exact links are the groups.
 
 Texts with equal shingle sets are one member, known by a 64-bit hash of the set. A component of over
@@ -42,7 +44,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE = 5
 SIMILAR = (4, 5)
 BANDS, ROWS = 20, 4
-RADIUS = 20
+RADIUS = 24
+SMALL, SMALL_RADIUS = 8, 28
 CHUNK_ROWS = 4096
 CHUNK_BYTES = 4 << 20
 #: Shingles whose minima are taken in one step.
@@ -80,20 +83,20 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(k: int = SHINGLE):
-    """A UDF from UTF-8 texts to the set's hash, its fingerprint and its band keys."""
+    """A UDF from UTF-8 texts to the set's hash, its fingerprint and its band keys, twice those of small sets."""
 
     @F.pandas_udf("sid long, fp long, keys array<long>")
     def of(raw: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(x, k) for x in raw]
         sid = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
         fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"sid": sid, "fp": fp, "keys": [band_keys(s) for s in sets]})
+        return pd.DataFrame({"sid": sid, "fp": fp, "keys": [np.tile(band_keys(s), 2 if len(s) <= SMALL else 1) for s in sets]})
 
     return of
 
 
-def exact_links(sid: np.ndarray, sets: list[np.ndarray], fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join all members whose fingerprints are within the radius and whose sets are similar.
+def exact_links(sid: np.ndarray, sets: list[np.ndarray], fp: np.ndarray, radius: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all members whose sets are similar, and whose fingerprints are within the radius if one is given.
 
     Members near the bitwise majority come first: the text that others were made from is then the root of its
     group. A member is compared with the roots first, and after that with the groups that it has not joined.
@@ -117,7 +120,10 @@ def exact_links(sid: np.ndarray, sets: list[np.ndarray], fp: np.ndarray, radius:
 
     for q in range(1, len(sid)):
         small, large = np.minimum(size[:q], size[q]), np.maximum(size[:q], size[q])
-        met = np.flatnonzero((np.bitwise_count(fp[:q] ^ fp[q]) <= radius) & (down * small >= up * large) & (size[:q] > 0))
+        can = (down * small >= up * large) & (size[:q] > 0)
+        if radius is not None:
+            can &= np.bitwise_count(fp[:q] ^ fp[q]) <= radius
+        met = np.flatnonzero(can)
         if not len(met):
             continue
         own = ids[start[q] : start[q] + size[q]]
@@ -167,8 +173,11 @@ def candidates(named: DataFrame, cap: int = SHARD_CAP) -> DataFrame:
     hot = hot.select(F.col("t").alias("ht"), F.col("k").alias("hk"), F.ceil(F.col("n") / F.lit(cap)).cast("long").alias("chunks"))
     met = filed.join(hot, (F.col("t") == F.col("ht")) & (F.col("k") == F.col("hk")), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
     dealt = met.select("t", "k", F.explode(chunk_pairs(F.xxhash64("fp"))).alias("g"), "fp").select("t", "k", "g.i", "g.j", "fp")
-    found = dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "fp").mapInArrow(search_shards(RADIUS), "a long, b long")
-    return components(found)
+
+    def search(rows: DataFrame, radius: int) -> DataFrame:
+        return rows.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "fp").mapInArrow(search_shards(radius), "a long, b long")
+
+    return components(search(dealt.where(F.col("t") < BANDS), RADIUS).union(search(dealt.where(F.col("t") >= BANDS), SMALL_RADIUS)))
 
 
 def chunk_pairs(number: Column) -> Column:

@@ -97,3 +97,26 @@ def test_comparison_joins_the_same_groups_in_any_order():
         root = {int(x): int(y) for x, y in zip(a, b, strict=True)}
         got = [root.get(i, i) for i in range(len(texts))]
         assert len(set(zip(got, groups, strict=True))) == len(set(got)) == len(set(groups))
+
+
+def distant_pairs(sizes, least, n, seed):
+    """n pairs of texts with so many shingles each, the fewer inside the more, whose fingerprints differ in at least so many bits."""
+    r, out = random.Random(seed), []
+    while len(out) < n:
+        words = [f"w{r.randrange(10**6)}" for _ in range(sizes[1] + 4)]
+        pair = [" ".join(words[: sizes[0] + 4]), " ".join(words)]
+        a, b = (neardup.majority(neardup.shingle_set(t.encode())) for t in pair)
+        if (a ^ b).bit_count() >= least:
+            out.append(pair)
+    return out
+
+
+def test_similar_texts_with_distant_fingerprints_are_joined(spark):
+    # a pair at 0.8 misses all bands with probability 3e-5
+    pairs = distant_pairs((4, 5), 25, 1, 1) + distant_pairs((4, 5), 21, 4, 2) + distant_pairs((12, 15), 21, 2, 3)
+    rows = list(enumerate(t for pair in pairs for t in pair))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in neardup.near_dedup(docs).collect()) == list(range(0, len(rows), 2))
+    sets = [neardup.shingle_set(t.encode()) for t in pairs[0]]
+    fp = np.array([neardup.majority(x) for x in sets], np.uint64)
+    assert len(neardup.exact_links(np.arange(2), sets, fp)[0]) == 1
