@@ -6,11 +6,14 @@ occurrence. A window's MinHash of BANDS bands with ROWS rows retrieves the templ
 that holds four fifths of a template's shingles has a similarity of 0.6 at least, and
 1 - (1 - 0.6**2)**16 > 0.999 of those collide. Retrieved templates are checked exactly: the
 share of the template's shingles in the window, widened by one step on both sides, is 0.8 or more.
+Windows that overlap are one run, which is cut into occurrences: one ends where a shingle comes again after
+0.8 of the template has been met, and reaches from its first template shingle to its last.
 
 The templates are broadcast: a fixed table (MAX_TEMPLATES at most).
 
-Defined cases: null and short texts have no match; the best window of a run stands for an occurrence;
-repeated rows are scanned each; an empty table gives an empty result; further columns are carried along untouched.
+Defined cases: null and short texts have no match; what is left of a run after its last
+occurrence is none; repeated rows are scanned each; an empty table gives an empty result; further columns are
+carried along untouched.
 """
 
 from __future__ import annotations
@@ -125,7 +128,7 @@ class Scanner:
         h = shingle_hashes(words_of(raw))
         if not self.may_collide(h):
             return []
-        found: dict[tuple[str, int], tuple[int, float]] = {}
+        found: dict[tuple[str, int], int] = {}
         for at in range(0, len(h), 1 << 14):
             for width, bands in self.classes.items():
                 step = next(s for s in (max(1, width // OVERLAP), 1) if width % s == 0)
@@ -135,21 +138,33 @@ class Scanner:
                     a = at + int(w) * step
                     lo, hi = max(0, a - step), min(len(h), a + width + step)
                     for name in {x for k in keys[w] for x in bands.get(int(k), ())}:
-                        share = float(np.isin(self.shingles[name], h[lo:hi]).mean())
-                        if share >= CONTAINED:
-                            found[name, lo] = (hi + SHINGLE - 1, share)
-        return self.joined(found)
+                        if float(np.isin(self.shingles[name], h[lo:hi]).mean()) >= CONTAINED:
+                            found[name, lo] = max(hi, found.get((name, lo), 0))
+        runs: list[list] = []
+        for (name, a), b in sorted(found.items()):
+            if runs and runs[-1][0] == name and a < runs[-1][2]:
+                runs[-1][2] = max(b, runs[-1][2])
+            else:
+                runs.append([name, a, b])
+        return sorted((x for run in runs for x in self.occurrences(h, *run)), key=lambda x: (x[1], x[0]))
 
-    @staticmethod
-    def joined(found: dict[tuple[str, int], tuple[int, float]]) -> list[tuple[str, int, int, float]]:
+    def occurrences(self, h: np.ndarray, name: str, a: int, b: int) -> list[tuple[str, int, int, float]]:
         out: list[tuple[str, int, int, float]] = []
-        for (name, a), (b, share) in sorted(found.items()):
-            if out and out[-1][0] == name and a < out[-1][2]:
-                if share > out[-1][3]:
-                    out[-1] = (name, a, b, share)
-            else:
-                out.append((name, a, b, share))
-        return sorted(out, key=lambda x: (x[1], x[0]))
+        met: set[int] = set()
+        first = last = a
+        whole = len(self.shingles[name])
+        for at in (a + np.flatnonzero(np.isin(h[a:b], self.shingles[name]))).tolist():
+            x = int(h[at])
+            if x in met and len(met) >= CONTAINED * whole:
+                out.append((name, first, last + SHINGLE, len(met) / whole))
+                met = set()
+            if not met:
+                first = at
+            met.add(x)
+            last = at
+        if len(met) >= CONTAINED * whole:
+            out.append((name, first, last + SHINGLE, len(met) / whole))
+        return out
 
 
 def scanner(shared):

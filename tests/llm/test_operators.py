@@ -279,6 +279,17 @@ def test_licenses(spark, folders):
     assert licenses.op9_license_windows(spark, folders["edge"]).count() == len(ROWS)
 
 
+def test_adjacent_notices_are_counted_each():
+    s = licenses.Scanner(licenses.TEMPLATES)
+    for name in ("mit-short", "mit", "gpl-3.0", "isc"):
+        t = licenses.TEMPLATES[name]
+        n = len(licenses.words_of(t.encode()))
+        for gap, k in ((" ", 2), (" ", 7), (" and ", 3), (" " + text(14, 20) + " ", 2)):
+            wide = len(licenses.words_of(gap.encode()))
+            hits = [x[1:] for x in s.scan(gap.join([t] * k).encode()) if x[0] == name]
+            assert hits == [(i * (n + wide), i * (n + wide) + n, 1.0) for i in range(k)], (name, gap, k)
+
+
 def test_decontamination(spark, folders):
     for rows, d, items in cases(spark, folders):
         want = ordered(brute.decontaminate(rows, items))
