@@ -19,6 +19,8 @@ carried along untouched.
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Mapping
 
 import numpy as np
@@ -37,10 +39,18 @@ CONTAINED = 0.8
 BANDS, ROWS = 16, 2
 OVERLAP = 8
 MAX_TEMPLATES = 10_000
+#: Templates that hold so much of each other are rivals: where they overlap, the better match stays.
+RIVALS = 0.5
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 MULTIPLY = np.array([xxhash.xxh64_intdigest(b"m%d" % i) | 1 for i in range(BANDS * ROWS)], np.uint64)
 ADD = np.array([xxhash.xxh64_intdigest(b"a%d" % i) for i in range(BANDS * ROWS)], np.uint64)
 
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_END = "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed."
+FREE = "is free software{} you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+CC = "This work is licensed under a Creative Commons {} 4.0 International License."
+CC_KINDS = {"by-sa": "Attribution-ShareAlike", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+
 #: Public notices of well-known licenses.
 TEMPLATES = {
     "mit-short": "Released under the MIT License.",
@@ -51,10 +61,26 @@ TEMPLATES = {
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-2-clause": f"{BSD} {BSD_END}",
+    "bsd-3-clause": f"{BSD} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {BSD_END}",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",  # what all BSD licenses begin with
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "gpl-2.0": "This program " + FREE.format(";", "", ";", "2"),
+    "lgpl-2.1": "This library " + FREE.format(";", "Lesser", ";", "2.1"),
+    "lgpl-3.0": "This program " + FREE.format(":", "Lesser", ",", "3"),
+    "agpl-3.0": "This program " + FREE.format(":", "Affero", ",", "3"),
+    "gfdl-1.3": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation",
+    **{f"cc-{k}-4.0-notice": CC.format(v) for k, v in CC_KINDS.items()},
+    "cc-by-nc-4.0-notice": CC.format("Attribution-NonCommercial"),
+    **{f"cc-{k}-4.0": f"Licensed under CC {k.upper()} 4.0." for k in CC_KINDS},
+    "cc0-1.0": "has waived all copyright and related or neighboring rights to",
+    "epl-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "ofl-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
 }
 
 
@@ -100,6 +126,15 @@ class Scanner:
                 bands.setdefault(int(key), []).append(name)
         for width, bands in self.classes.items():
             self.keys[width] = np.array(sorted(bands), np.uint64)
+        self.rivals: dict[str, set[str]] = {name: set() for name in templates}
+        holders: dict[int, list[str]] = {}
+        for name, s in self.shingles.items():
+            for x in s.tolist():
+                holders.setdefault(x, []).append(name)
+        for name, s in self.shingles.items():
+            for other, n in Counter(o for x in s.tolist() for o in holders[x]).items():
+                if other != name and n >= RIVALS * max(len(s), len(self.shingles[other])):
+                    self.rivals[name].add(other)
         self.all = np.unique(np.concatenate(list(self.shingles.values())))
         self.low = np.zeros(1 << 16, bool)
         self.low[self.all & np.uint64(0xFFFF)] = True
@@ -146,7 +181,23 @@ class Scanner:
                 runs[-1][2] = max(b, runs[-1][2])
             else:
                 runs.append([name, a, b])
-        return sorted((x for run in runs for x in self.occurrences(h, *run)), key=lambda x: (x[1], x[0]))
+        each = [x for run in runs for x in self.occurrences(h, *run)]
+        by_name: dict[str, list] = {}
+        for x in each:  # those of a name are in order and apart
+            by_name.setdefault(x[0], []).append(x)
+
+        def beaten(x: tuple) -> bool:
+            for other in self.rivals[x[0]] & by_name.keys():
+                own = by_name[other]
+                for y in reversed(own[: bisect_left(own, x[2], key=lambda y: y[1])]):
+                    if y[2] <= x[1]:
+                        break
+                    if y[3] > x[3]:
+                        return True
+            return False
+
+        best = [x for x in each if not beaten(x)]
+        return sorted(best, key=lambda x: (x[1], x[0]))
 
     def occurrences(self, h: np.ndarray, name: str, a: int, b: int) -> list[tuple[str, int, int, float]]:
         out: list[tuple[str, int, int, float]] = []

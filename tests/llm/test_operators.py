@@ -290,6 +290,21 @@ def test_adjacent_notices_are_counted_each():
             assert hits == [(i * (n + wide), i * (n + wide) + n, 1.0) for i in range(k)], (name, gap, k)
 
 
+def test_license_families_stay_apart():
+    s = licenses.Scanner(licenses.TEMPLATES)
+    gpl = licenses.TEMPLATES["gpl-3.0"]
+    for kind, name in (("Lesser", "lgpl-3.0"), ("Affero", "agpl-3.0")):
+        assert [x[0] for x in s.scan(gpl.replace("General", kind + " General").encode())] == [name]
+    assert [x[0] for x in s.scan(gpl.replace("version 3", "version 2").encode())] == ["gpl-2.0"]
+    assert [x[0] for x in s.scan(gpl.encode())] == ["gpl-3.0"]
+    share = "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."
+    assert [x[0] for x in s.scan(share.encode())] == ["cc-by-sa-4.0-notice"]
+    zero = "To the extent possible under law, A B has waived all copyright and related or neighboring rights to this work."
+    assert [x[0] for x in s.scan(zero.encode())] == ["cc0-1.0"]
+    for name in ("bsd-2-clause", "bsd-3-clause"):
+        assert sorted(x[0] for x in s.scan(licenses.TEMPLATES[name].encode())) == ["bsd", name]
+
+
 def test_decontamination(spark, folders):
     for rows, d, items in cases(spark, folders):
         want = ordered(brute.decontaminate(rows, items))
