@@ -7,8 +7,9 @@ For each row the log posterior of a language is the sum of
 - log P(declared markup language | language) and log P(address suffix | language).
 Priors and likelihoods are grouped counts over all rows, by the language that the text alone says.
 
-The trigram model is fitted on a sample of labelled documents (`lang`), about SAMPLE_ROWS of them drawn by a hash
-of the id; all else covers all rows. Languages are those of the sample, MAX_LANGS at most.
+The trigram model is fitted on a sample of labelled documents (`lang`), about SAMPLE_ROWS of them and LANG_ROWS
+more of each rare language, drawn by a hash of id and text; all else covers all rows. Languages are all labels, and each
+has a row in the sample at least; a label takes 128 KB of the model, which the driver and each worker hold.
 
 Defined cases: a null or short text says nothing, so priors decide; missing host, declaration and suffix are
 values of their own; without labelled rows every language is "und"; ties go to the first language by
@@ -32,7 +33,9 @@ from .common import cut, lean_batches, table, unit_draw
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE_ROWS = 4000
-MAX_LANGS = 100
+LANG_ROWS = 40
+#: Languages whose dense counts a task holds at a time.
+HELD_LANGS = 100
 BUCKETS = 1 << 15
 MAX_EVIDENCE = 60
 #: Pseudo-counts of the level above in the host hierarchy, and of an evidence value.
@@ -50,24 +53,33 @@ def buckets(raw: bytes) -> Iterator[np.ndarray]:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
+
+    def flush() -> pa.RecordBatch:
+        at = [np.flatnonzero(v) for v in total.values()]
+        columns = [pa.array(total, pa.string()), pa.array([i.tobytes() for i in at], pa.binary()), pa.array([v[i].tobytes() for v, i in zip(total.values(), at, strict=True)], pa.binary())]
+        total.clear()
+        return pa.RecordBatch.from_arrays(columns, ["lang", "at", "counts"])
+
     for batch in batches:
         for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if lang not in total and len(total) == HELD_LANGS:
+                yield flush()
             own = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
             for b in buckets(raw or b""):
                 own += np.bincount(b, minlength=BUCKETS)
-    yield pa.RecordBatch.from_arrays([pa.array(total, pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["lang", "counts"])
+    yield flush()
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
     """Log probabilities of trigram buckets by language."""
-    known = docs.where("lang is not null")
-    share = min(1.0, rows / max(1, known.count()))
-    sample = known.where(unit_draw(F.col("doc_id")) < share).select("lang", F.col("text").cast("binary"))
-    total: dict[str, np.ndarray] = {}
-    for r in sample.coalesce(8).mapInArrow(_counts, "lang string, counts binary").collect():  # 8 x MAX_LANGS counts at most
-        total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["counts"], np.int64)
-    if len(total) > MAX_LANGS:
-        raise ValueError(f"over {MAX_LANGS} languages in the sample")
+    known = docs.where("lang is not null").withColumn("_u", unit_draw(F.col("doc_id"), F.col("text")))
+    langs = known.groupBy("lang").agg(F.count("*").alias("_n"), F.min("_u").alias("_least")).collect()
+    share = rows / max(1, sum(r["_n"] for r in langs))
+    upto = docs.sparkSession.createDataFrame([(r["lang"], max(share, LANG_ROWS / r["_n"], r["_least"])) for r in langs], "_lang string, _upto double")
+    sample = known.join(upto, F.col("lang") == F.col("_lang")).where("_u <= _upto").select("lang", F.col("text").cast("binary"))
+    total: dict[str, np.ndarray] = {r["lang"]: np.zeros(BUCKETS, np.int64) for r in langs}
+    for r in sample.coalesce(8).mapInArrow(_counts, "lang string, at binary, counts binary").collect():
+        total[r["lang"]][np.frombuffer(r["at"], np.int64)] += np.frombuffer(r["counts"], np.int64)
     return {k: np.log((total[k] + 0.5) / (total[k].sum() + 0.5 * BUCKETS)).astype(np.float32) for k in sorted(total)}
 
 

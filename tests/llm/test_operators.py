@@ -190,6 +190,14 @@ def test_held_out_language_accuracy(spark):
     assert sum(r["lang"] == r["truth"] for r in rows) / len(rows) > 0.97
 
 
+def test_rare_and_many_languages_have_models(spark):
+    rows = [(i, text(i, 12), "en") for i in range(300)] + [(1000, "zzq yyx wwv kkj qqp xxz " * 5, "rare")] + [(2000 + i, text(500 + i, 9), f"l{i:03}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, rows=5)
+    assert sorted(model) == sorted({r[2] for r in rows})
+    assert all(len(set(v.tolist())) > 1 for v in model.values())  # none is uniform
+
+
 def test_tokens(spark, folders):
     sp = tokens.load(tokens.model_path())
     for rows, d, _ in cases(spark, folders):
