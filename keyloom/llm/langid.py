@@ -76,7 +76,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
     langs = known.groupBy("lang").agg(F.count("*").alias("_n"), F.min("_u").alias("_least")).collect()
     share = rows / max(1, sum(r["_n"] for r in langs))
     upto = docs.sparkSession.createDataFrame([(r["lang"], max(share, LANG_ROWS / r["_n"], r["_least"])) for r in langs], "_lang string, _upto double")
-    sample = known.join(upto, F.col("lang") == F.col("_lang")).where("_u <= _upto").select("lang", F.col("text").cast("binary"))
+    sample = known.join(F.broadcast(upto), F.col("lang") == F.col("_lang")).where("_u <= _upto").select("lang", F.col("text").cast("binary"))
     total: dict[str, np.ndarray] = {r["lang"]: np.zeros(BUCKETS, np.int64) for r in langs}
     for r in sample.coalesce(8).mapInArrow(_counts, "lang string, at binary, counts binary").collect():
         total[r["lang"]][np.frombuffer(r["at"], np.int64)] += np.frombuffer(r["counts"], np.int64)
