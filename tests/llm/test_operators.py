@@ -328,3 +328,22 @@ def test_spans_point_at_the_original(spark):
     docs, bench = spark.createDataFrame([(1, body)], "doc_id int, text string"), spark.createDataFrame([(1, item)], "item_id int, text string")
     r = decontam.locate(docs, bench).first()
     assert [body[s["start"] : s["end"]] for s in r["spans"]] == [item.upper().replace(" ", " - ")]
+
+
+def test_rare_values_are_raked_together(spark, monkeypatch):
+    cells = [("a", "en", "x", 9000), ("b", "en", "x", 5000), ("a", "de", "x", 3000), *[(f"s{i}", "en", "x", 1 + i % 3) for i in range(40)]]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    rows = mixing.rake(df).collect()
+    assert len(rows) == len(cells) and len({r["p"] for r in rows if r["source"].startswith("s")}) == 1
+    monkeypatch.setattr(mixing, "RARE", 10**9)  # every value by itself
+    alone = mixing.rake(df).collect()
+    assert len({round(r["p"], 9) for r in alone if r["source"].startswith("s")}) > 1
+    kept = lambda found: sum(r["tokens"] * r["p"] for r in found)
+    assert kept(rows) > kept(alone)
+
+
+def test_targets_that_exclude_each_other_end_with_a_warning(spark):
+    df = spark.createDataFrame([("a", "en", "x", 10), ("b", "de", "x", 10)], "source string, lang string, topic string, tokens long")
+    wish = {"source": spark.createDataFrame([("a", 1.0), ("b", 3.0)], "value string, share double"), "lang": spark.createDataFrame([("en", 1.0), ("de", 1.0)], "value string, share double")}
+    with pytest.warns(UserWarning):
+        assert mixing.rake(df, wish, rounds=2).count() == 2
