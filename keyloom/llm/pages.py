@@ -9,8 +9,12 @@ goes (UNDRAWN, display="none"). A `use` is not followed. Blocks stand on lines o
 and headings with an empty line around, list items are marked and indented, preformatted text keeps its
 spaces, table cells are padded to columns.
 
-Defined cases: null and empty pages have empty texts; nesting below DEPTH joins the level above, and
-no text is lost by that; a `<` that starts no tag is text; repeated rows are rendered each; an empty table
+A page is read in linear time, whatever its markup, and nothing recurses: elements may nest without end, and visibility
+holds at any depth. Only layout has bounds, so that it does not outgrow the page: indentation (INDENT), aligned
+columns (COLUMNS, WIDE) and tables within tables (NESTED); no text is lost by these.
+
+Defined cases: null and empty pages have empty texts; a `<` that starts no tag, or a tag that no `>` ends, is text; an
+unclosed comment goes to the end of the page; repeated rows are rendered each; an empty table
 gives an empty result; further columns are carried along untouched.
 """
 
@@ -19,6 +23,8 @@ from __future__ import annotations
 import html
 import re
 import sys
+from bisect import bisect_right
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -29,9 +35,17 @@ from .common import lean_batches, pack, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-DEPTH = 150
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: Tables inside so many others are no longer aligned: their cells are lines.
+NESTED = 20
+#: Columns that are aligned (also the most that the HTML standard lets a cell span), and characters of a line that widen a column.
+COLUMNS, WIDE = 1000, 200
+#: Indentation does not go beyond about so many columns.
+INDENT = 80
+TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?]|/)")
+GAP, NAME, EQUALS, BARE = re.compile(r"[\s/]*"), re.compile(r"=?[^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
+QUOTES = ('"', "'")
+SPACES = re.compile(r"[ \t\r\n\f\xa0]+")
+START = re.compile(r"-?\d{1,9}")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -53,6 +67,8 @@ ENDS |= {"tr": ({"tr", "td", "th", "caption"}, frozenset(("table",))), "option":
 ENDS |= {t: ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, frozenset(("table",))) for t in ("thead", "tbody", "tfoot")}
 #: An end tag does not reach out of these.
 WALLS = frozenset("td th table".split())
+FREE_ENDS = WALLS | {"tr", "thead", "tbody", "tfoot"}
+CLOSES = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
 
@@ -63,78 +79,134 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
-def attributes(raw: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for name, value in ATTR.findall(raw):
-        out.setdefault(name.lower(), html.unescape(value[1:-1] if value[:1] in "\"'" and value else value))
-    return out
+class Open:
+    """The open elements: a stack, and where each tag stands in it, so that no search walks the stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, length: int) -> None:
+        while len(self.stack) > length:
+            self.at[self.stack.pop().tag].pop()
+
+    def top(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these tags; 0 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def end(self, names: set[str], scope: frozenset) -> None:
+        """Close all up to the outermost open element of names inside the scope."""
+        wall = self.top(scope - names)
+        hits = [places[bisect_right(places, wall)] for t in names if (places := self.at.get(t)) and places[-1] > wall]
+        if hits:
+            self.cut(min(hits))
+
+    def drawing(self) -> bool:
+        return bool(self.at.get("svg") or self.at.get("math"))
+
+
+def tag_rest(page: str, at: int, missing: set[str]) -> tuple[dict[str, str], int, bool]:
+    """Attributes from `at` on, where the tag ends, and whether a slash ends it.
+
+    Only a quote right after `=` opens a quoted value; if none closes it on the page (`missing` keeps which quotes
+    do not come again), the value ends like an unquoted one. A `>` comes later, as the caller has made sure.
+    """
+    attrs: dict[str, str] = {}
+    while True:
+        at = GAP.match(page, at).end()
+        if at >= len(page) or page[at] == ">":
+            return attrs, at + 1, page[at - 1] == "/"
+        m = NAME.match(page, at)
+        name, value, at = m[0].lower(), "", m.end()
+        if m := EQUALS.match(page, at):
+            at = m.end()
+            quote = page[at : at + 1]
+            if quote in QUOTES:
+                close = -1 if quote in missing else page.find(quote, at + 1)
+                if close < 0:
+                    missing.add(quote)
+                    m = BARE.match(page, at + 1)
+                    value, at = m[0], m.end()
+                else:
+                    value, at = page[at + 1 : close], close + 1
+            else:
+                m = BARE.match(page, at)
+                value, at = m[0], m.end()
+        attrs.setdefault(name, html.unescape(value) if "&" in value else value)
 
 
 def parse(page: str) -> Node:
+    """The tree of a page; every byte is read a bounded number of times."""
     root = Node("html", {})
-    stack = [root]
-    at = 0
+    opened = Open(root)
+    last = page.rfind(">")
+    missing: set[str] = set()
+    begin = at = 0
 
     def text(s: str) -> None:
         if s:
-            stack[-1].kids.append(html.unescape(s) if "&" in s else s)
+            opened.stack[-1].kids.append(html.unescape(s) if "&" in s else s)
 
-    def end(names: set[str], scope: frozenset) -> None:
-        """Close all up to the outermost open element of names inside the scope."""
-        hit = 0
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                hit = i
-            elif stack[i].tag in scope:
-                break
-        if hit:
-            del stack[hit:]
-
-    def drawing() -> bool:
-        return any(n.tag in ("svg", "math") for n in stack)
-
-    while m := TOKEN.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA[") and drawing():
-                close_at = page.find("]]>", m.start())
-                stack[-1].kids.append(page[m.start() + 9 : close_at if close_at >= 0 else len(page)])
-                at = close_at + 3 if close_at >= 0 else len(page)
+    while (lt := page.find("<", at)) >= 0:
+        head = TAG.match(page, lt)
+        if not head:  # a sign, no tag
+            at = lt + 1
+            continue
+        mark, tag = head[1], (head[2] or "").lower()
+        if not tag:  # a comment or a declaration
+            text(page[begin:lt])
+            if page.startswith("<!--", lt):
+                end, width = page.find("-->", lt + 2), 3
+            elif page.startswith("<![CDATA[", lt) and opened.drawing():
+                end, width = page.find("]]>", lt), 3
+                opened.stack[-1].kids.append(page[lt + 9 : end if end >= 0 else len(page)])
+            else:
+                end, width = page.find(">", lt), 1
+            begin = at = end + width if end >= 0 else len(page)
             continue
-        tag = m[2].lower()
-        if tag in DRAWN and drawing():
+        if last < head.end():  # no tag is closed from here on: the rest is text
+            break
+        text(page[begin:lt])
+        if page[head.end()] == ">":
+            attrs, at, slash = {}, head.end() + 1, False
+        else:
+            attrs, at, slash = tag_rest(page, head.end(), missing)
+        begin = at
+        if tag in DRAWN and opened.drawing():
             tag = f"svg {tag}"
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in WALLS and tag not in WALLS | {"tr", "thead", "tbody", "tfoot"}:
-                    break
+        if mark:
+            place = opened.top((tag,))
+            if place and (tag in FREE_ENDS or place > opened.top(WALLS)):
+                opened.cut(place)
+            continue
+        if tag == "html":
+            for k, v in attrs.items():
+                root.attrs.setdefault(k, v)
             continue
-        attrs = attributes(m[3]) if m[3].strip() else {}
-        if tag in ("html", "body"):
-            if tag == "body" and not any(n.tag == "body" for n in stack):
-                del stack[1:]  # ends an open head
-                stack[-1].kids.append(node := Node(tag, attrs))
-                stack.append(node)
+        if tag == "body":
+            if not opened.at.get("body"):
+                opened.cut(1)  # ends an open head
+                opened.stack[-1].kids.append(node := Node(tag, attrs))
+                opened.push(node)
             continue
-        if tag in BLOCKS and len(stack) > 1 and stack[-1].tag == "head":
-            stack.pop()
+        if tag in BLOCKS and opened.stack[-1].tag == "head":
+            opened.cut(len(opened.stack) - 1)
         if tag in ENDS:
-            end(*ENDS[tag])
+            opened.end(*ENDS[tag])
         node = Node(tag, attrs)
-        stack[-1].kids.append(node)
-        empty = m[3].rstrip().endswith("/")
-        if tag in RAW and not (empty and drawing()):
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+        opened.stack[-1].kids.append(node)
+        slash = slash and opened.drawing()  # elsewhere it says nothing
+        if tag in RAW and not slash:
+            close = CLOSES[tag].search(page, at)
             inner = page[at : close.start() if close else len(page)]
             node.kids.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
-            at = close.end() if close else len(page)
-        elif tag not in VOID and not empty and len(stack) < DEPTH:
-            stack.append(node)
-    text(page[at:])
+            begin = at = page.find(">", close.end()) + 1 if close and close.end() <= last else len(page)
+        elif tag not in VOID and not slash:
+            opened.push(node)
+    text(page[begin:])
     return root
 
 
@@ -148,14 +220,20 @@ def unseen(node: Node) -> bool:
 
 
 class Lines:
-    """Text as lines: inline text collapses its spaces, blocks start new lines, gaps of empty lines do not add up."""
+    """Text as lines: inline text collapses its spaces, blocks start new lines, gaps of empty lines do not add up.
+
+    An item indents what is in it, to INDENT columns at most, and has a mark before its first line.
+    """
 
     def __init__(self):
         self.lines: list[str] = []
         self.line: list[str] = []
+        self.outer: list[tuple[str, int]] = []
+        self.prefix, self.base = "", 0
+        self.mark: str | None = None
 
     def inline(self, s: str) -> None:
-        s = re.sub(r"[ \t\r\n\f\xa0]+", " ", s)
+        s = SPACES.sub(" ", s)
         if not self.line:
             s = s.lstrip(" ")
         elif self.line[-1].endswith(" ") and s.startswith(" "):
@@ -165,17 +243,45 @@ class Lines:
 
     def close(self) -> None:
         if s := "".join(self.line).rstrip(" "):
-            self.lines.append(s)
+            self._add(s)
         self.line = []
 
+    def _add(self, s: str) -> None:
+        if s:
+            self.lines.append((self.prefix if self.mark is None else self.mark) + s)
+            self.mark = None
+        else:
+            self.lines.append("")
+
     def gap(self) -> None:
         self.close()
-        if self.lines and self.lines[-1]:
+        if len(self.lines) > self.base and self.lines[-1]:
             self.lines.append("")
 
     def whole(self, lines: list[str]) -> None:
         self.close()
-        self.lines += lines
+        for s in lines:
+            self._add(s)
+
+    def enter(self, mark: str = "") -> None:
+        self.close()
+        self.outer.append((self.prefix, self.base))
+        self.base = len(self.lines)
+        before = self.prefix if self.mark is None else self.mark
+        if mark.strip():
+            self.mark = before + mark if len(before) < INDENT else before
+        if len(self.prefix) < INDENT:
+            self.prefix += " " * len(mark)
+
+    def leave(self, item: bool = False) -> None:
+        self.close()
+        while len(self.lines) > self.base and not self.lines[-1]:
+            self.lines.pop()
+        if item:
+            if len(self.lines) == self.base:
+                self.lines.append("")
+            self.mark = None
+        self.prefix, self.base = self.outer.pop()
 
     def done(self) -> list[str]:
         self.close()
@@ -184,126 +290,192 @@ class Lines:
         return self.lines
 
 
-def render(node: Node, out: Lines) -> None:
-    for kid in node.kids:
+def span(node: Node, name: str, most: int) -> int:
+    value = node.attrs.get(name, "").strip()
+    return max(1, min(int(value), most)) if value.isascii() and value.isdigit() and len(value) < 10 else 1
+
+
+class Table:
+    """Captions and stray text above, then rows with cells padded to the widest of their column.
+
+    A cell takes the first column that no cell from above spans. Cells over several columns, and lines of over
+    WIDE characters, widen no column; what would reach over stands two spaces on. From column COLUMNS on cells follow
+    each other.
+    """
+
+    def __init__(self):
+        self.above = Lines()
+        self.rows: list[list[tuple[int, int, list[str]]]] = []
+        self.until: dict[int, int] = {}
+        self.next = 0
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.next = 0
+
+    def cell(self, node: Node) -> list:
+        """A place for the cell's lines, which are put there when they are known."""
+        if not self.rows:
+            self.row()
+        now = len(self.rows)
+        while self.until.get(self.next, 0) >= now:
+            self.next += 1
+        cols, rows = span(node, "colspan", COLUMNS), span(node, "rowspan", 65_534)
+        if rows > 1:
+            for c in range(self.next, min(self.next + cols, COLUMNS)):
+                self.until[c] = now + rows - 1
+        place: list[str] = []
+        self.rows[-1].append((self.next, cols, place))
+        self.next += cols
+        return place
+
+    def done(self) -> list[str]:
+        width: dict[int, int] = {}
+        for row in self.rows:
+            for c, cols, cell in row:
+                if c < COLUMNS:
+                    width[c] = max(width.get(c, 0), *(len(x) for x in cell if cols == 1 and len(x) <= WIDE), 0)
+        start, at = {}, 0
+        for c in sorted(width):
+            start[c] = at
+            at += width[c] + 2
+        out = self.above.done()
+        for row in self.rows:
+            for i in range(max((len(cell) for _, _, cell in row), default=0)):
+                parts, n = [], 0
+                for c, _, cell in row:
+                    if i < len(cell) and cell[i]:
+                        pad = max(start.get(c, 0) - n, 2 if n else 0)
+                        parts += (" " * pad, cell[i])
+                        n += pad + len(cell[i])
+                out.append("".join(parts).rstrip(" "))
+        return out
+
+
+def block(root: Node) -> list[str]:
+    """The lines of what is in a node, by a list of things to do instead of recursion: pages may nest without end."""
+    top = Lines()
+    todo: list = []
+
+    def inside(node: Node, out: Lines, depth: int, how=None) -> None:
+        how = how or flow
+        todo.extend((how, node, kid, out, depth) for kid in reversed(node.kids))
+
+    def later(call, *args) -> None:
+        todo.append((lambda *_: call(*args), None, None, None, 0))
+
+    def flow(parent: Node, kid: Node | str, out: Lines, depth: int) -> None:
         if isinstance(kid, str):
-            if node.tag not in DRAWINGS or not kid.isspace():
+            if parent.tag not in DRAWINGS or not kid.isspace():
                 out.inline(kid)
-            continue
+            return
         tag = kid.tag
         if unseen(kid):
-            continue
+            return
         if tag == "br":
-            if out.line:
-                out.close()
-            else:
-                out.gap()
+            out.close() if out.line else out.gap()
         elif tag == "hr":
             out.gap()
         elif tag == "pre":
             out.gap()
             out.whole(plain(kid).strip("\n").split("\n"))
             out.gap()
-        elif tag == "table":
-            out.gap()
-            out.whole(table_lines(kid))
+        elif tag == "table" and depth < NESTED:
             out.gap()
+            own = Table()
+            later(lambda: (out.whole(own.done()), out.gap()))
+            inside(kid, own, depth + 1, in_table)
+        elif tag in ("td", "th", "tr", "caption"):  # of tables too deep, or without one
+            out.close()
+            later(out.close)
+            inside(kid, out, depth)
         elif tag in ("ul", "ol", "dir", "menu"):
-            out.close() if node.tag == "li" else out.gap()
-            out.whole(list_lines(kid))
-            out.close() if node.tag == "li" else out.gap()
+            around = out.close if parent.tag == "li" else out.gap
+            around()
+            later(around)
+            in_list(kid, out, depth)
         elif tag == "dd":
-            out.close()
-            out.whole(["  " + x for x in block(kid)])
+            out.enter("  ")
+            later(out.leave)
+            inside(kid, out, depth)
         elif tag == "details" and "open" not in kid.attrs:
             out.close()
-            for x in kid.kids:
+            for x in reversed(kid.kids):
                 if isinstance(x, Node) and x.tag == "summary":
-                    out.whole(block(x))
-        elif tag == "textarea" or tag == "button" or tag in APART or node.tag == "mfrac":
-            out.inline(" ")
-            render(kid, out)
+                    later(out.leave)
+                    inside(x, out, depth)
+                    later(out.enter)
+        elif tag == "textarea" or tag == "button" or tag in APART or parent.tag == "mfrac":
             out.inline(" ")
+            later(out.inline, " ")
+            inside(kid, out, depth)
         elif tag == "svg tspan" and not kid.attrs.keys().isdisjoint("xy"):
             out.inline(" ")
-            render(kid, out)
+            inside(kid, out, depth)
         elif tag in BLOCKS:
-            (out.gap if tag in PARAGRAPHS else out.close)()
-            render(kid, out)
-            (out.gap if tag in PARAGRAPHS else out.close)()
+            around = out.gap if tag in PARAGRAPHS else out.close
+            around()
+            later(around)
+            inside(kid, out, depth)
         else:
-            render(kid, out)
-
-
-def block(node: Node) -> list[str]:
-    out = Lines()
-    render(node, out)
-    return out.done()
-
+            inside(kid, out, depth)
 
-def plain(node: Node) -> str:
-    return "".join(k if isinstance(k, str) else "\n" if k.tag == "br" else "" if unseen(k) else f" {plain(k)} " if k.tag in APART else plain(k) for k in node.kids)
-
-
-def list_lines(node: Node) -> list[str]:
-    out: list[str] = []
-    number = int(node.attrs["start"]) if re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "")) else 1
-    for kid in node.kids:
+    def in_list(node: Node, out: Lines, depth: int) -> None:
+        number = int(node.attrs["start"]) if START.fullmatch(node.attrs.get("start", "")) else 1
+        steps = []
+        for kid in node.kids:
+            if isinstance(kid, str):
+                if kid.strip():
+                    steps += [(lambda *_, s=kid: out.whole([" ".join(s.split())]), None, None, None, 0)]
+            elif not unseen(kid):
+                item = kid.tag == "li"
+                mark = (f"{number}. " if node.tag == "ol" else "- ") if item else ""
+                number += item
+                steps.append((lambda *_, m=mark: out.enter(m), None, None, None, 0))
+                steps.append((lambda kid, *_: inside(kid, out, depth), kid, None, None, 0) if item else (flow, PLAIN, kid, out, depth))
+                steps.append((lambda *_, i=item: out.leave(i), None, None, None, 0))
+        todo.extend(reversed(steps))
+
+    def in_table(parent: Node, kid: Node | str, own: Table, depth: int) -> None:
         if isinstance(kid, str):
-            if kid.strip():
-                out.append(" ".join(kid.split()))
-            continue
-        if unseen(kid):
-            continue
-        holder = kid
-        if kid.tag != "li":
-            holder = Node("div", {})
-            holder.kids = [kid]
-        lines = block(holder)
-        if kid.tag == "li":
-            mark = f"{number}. " if node.tag == "ol" else "- "
-            number += 1
-            out += [(mark if i == 0 else " " * len(mark)) + x if x else "" for i, x in enumerate(lines or [""])]
+            own.above.inline(kid)
+        elif unseen(kid):
+            return
+        elif kid.tag in ("thead", "tbody", "tfoot", "tr"):
+            if kid.tag == "tr":
+                own.row()
+            inside(kid, own, depth, in_table)
+        elif kid.tag in ("td", "th"):
+            place, cell = own.cell(kid), Lines()
+            later(lambda: place.extend(cell.done()))
+            inside(kid, cell, depth)
         else:
-            out += lines
-    return out
+            own.above.enter()
+            later(own.above.leave)
+            inside(kid, own.above, depth)
 
+    inside(root, top, 0)
+    while todo:
+        how, *args = todo.pop()
+        how(*args)
+    return top.done()
 
-def table_lines(node: Node) -> list[str]:
-    """Captions and stray text above, then rows with cells padded to the widest of their column."""
-    above = Lines()
-    rows: list[list[list[str]]] = []
 
-    def walk(n: Node) -> None:
-        for kid in n.kids:
-            if isinstance(kid, str):
-                above.inline(kid)
-            elif unseen(kid):
-                continue
-            elif kid.tag in ("thead", "tbody", "tfoot", "tr"):
-                if kid.tag == "tr":
-                    rows.append([])
-                walk(kid)
-            elif kid.tag in ("td", "th"):
-                if not rows:
-                    rows.append([])
-                rows[-1].append(block(kid))
-                span = kid.attrs.get("colspan", "1")
-                rows[-1].extend([] for _ in range(min(int(span), 100) - 1 if re.fullmatch(r"\d{1,4}", span) else 0))
-            else:
-                above.close()
-                above.whole(block(kid))
-
-    walk(node)
-    width: dict[int, int] = {}
-    for row in rows:
-        for j, cell in enumerate(row):
-            width[j] = max(width.get(j, 0), *(len(x) for x in cell), 0)
-    out = above.done()
-    for row in rows:
-        for i in range(max((len(c) for c in row), default=0)):
-            out.append("  ".join((c[i] if i < len(c) else "").ljust(width[j]) for j, c in enumerate(row)).rstrip(" "))
-    return out
+PLAIN = Node("div", {})
+
+
+def plain(node: Node) -> str:
+    out, todo = [], list(reversed(node.kids))
+    while todo:
+        k = todo.pop()
+        if isinstance(k, str):
+            out.append(k)
+        elif k.tag == "br":
+            out.append("\n")
+        elif not unseen(k):
+            apart = [" "] if k.tag in APART else []
+            todo += [*apart, *reversed(k.kids), *apart]
+    return "".join(out)
 
 
 def page_text(page: str | None) -> str:

@@ -147,3 +147,71 @@ def shard(doc_id, tree):
 def size_and_crc(text):
     b = (text or "").encode()
     return len(b) + 1, zlib.crc32(b)
+
+
+def page_events(kids, parent=None):
+    """What a tree of (tag, attributes, kids) and strings does to the lines of a page."""
+    for kid in kids:
+        if isinstance(kid, str):
+            yield "text", kid
+            continue
+        tag, attrs, inner = kid
+        if "hidden" in attrs or tag == "script":
+            continue
+        if tag in ("p", "div"):
+            around = "gap" if tag == "p" else "close"
+            yield around, None
+            yield from page_events(inner, tag)
+            yield around, None
+        elif tag in ("ul", "ol"):
+            lines = []
+            for n, (_, _, item) in enumerate([x for x in inner if "hidden" not in x[1]], 1):
+                mark = f"{n}. " if tag == "ol" else "- "
+                lines += [(" " * len(mark) if i else mark) + x if x else "" for i, x in enumerate(page_lines(item, "li") or [""])]
+            yield ("close" if parent == "li" else "gap"), None
+            yield "lines", lines
+            yield ("close" if parent == "li" else "gap"), None
+        elif tag == "table":
+            grid, taken = [], set()
+            for y, (_, _, cells) in enumerate(inner):
+                x, row = 0, []
+                for _, a, cell in cells:
+                    while (y, x) in taken:
+                        x += 1
+                    wide, high = int(a.get("colspan", 1)), int(a.get("rowspan", 1))
+                    taken |= {(y + j, x + i) for i in range(wide) for j in range(high)}
+                    row.append((x, wide, page_lines(cell, "td")))
+                    x += wide
+                grid.append(row)
+            columns = sorted({x for row in grid for x, _, _ in row})
+            width = {c: max([len(s) for row in grid for x, wide, cell in row if x == c and wide == 1 for s in cell], default=0) for c in columns}
+            lines = []
+            for row in grid:
+                for i in range(max([len(cell) for _, _, cell in row], default=0)):
+                    s = ""
+                    for x, _, cell in row:
+                        if i < len(cell) and cell[i]:
+                            s = s.ljust(max(sum(width[c] + 2 for c in columns if c < x), len(s) + 2 if s else 0)) + cell[i]
+                    lines.append(s)
+            yield "gap", None
+            yield "lines", lines
+            yield "gap", None
+        else:
+            yield from page_events(inner, tag)
+
+
+def page_lines(kids, parent=None):
+    lines, line = [], ""
+    for what, x in [*page_events(kids, parent), ("close", None)]:
+        if what == "text":
+            line += x
+            continue
+        if line.split():
+            lines.append(" ".join(line.split()))
+        line = ""
+        if what == "gap" and lines and lines[-1]:
+            lines.append("")
+        lines += x or []
+    while lines and not lines[-1]:
+        lines.pop()
+    return lines

@@ -247,6 +247,65 @@ def test_pages():
     assert pages.page_text("<div>" * 5000 + "deep") == "deep"
 
 
+def random_page(r, depth=0):
+    """Kids of a random element."""
+    out = []
+    for _ in range(r.randrange(1, 5)):
+        kind = r.choice(["text", "text", "b", "p", "div", "ul", "ol", "table", "script"]) if depth < 5 else "text"
+        attrs = {"hidden": ""} if r.random() < 0.1 else {}
+        if kind == "text":
+            out.append(r.choice([" ", ""]) + f"w{r.randrange(99)}" + r.choice([" ", "  x\n", ""]))
+        elif kind == "script":
+            out.append((kind, {}, ["var <p> x"]))
+        elif kind in ("ul", "ol"):
+            out.append((kind, attrs, [("li", {"hidden": ""} if r.random() < 0.1 else {}, random_page(r, depth + 1)) for _ in range(r.randrange(1, 4))]))
+        elif kind == "table":
+            cell = lambda: ("td", {k: str(r.randrange(2, 4)) for k in ("colspan", "rowspan") if r.random() < 0.15}, random_page(r, depth + 2))
+            out.append((kind, attrs, [("tr", {}, [cell() for _ in range(r.randrange(1, 4))]) for _ in range(r.randrange(1, 4))]))
+        elif kind == "p":
+            out.append((kind, attrs, [f"t{r.randrange(99)}", ("b", {}, [" y"])]))
+        else:
+            out.append((kind, attrs, random_page(r, depth + 1) if kind == "div" else [f"z{r.randrange(9)}"]))
+    return out
+
+
+def markup(r, kids):
+    """HTML of a tree; end tags that are implied are left out now and then."""
+    out = ""
+    for i, k in enumerate(kids):
+        if isinstance(k, str):
+            out += k
+            continue
+        tag, attrs, inner = k
+        out += f"<{tag}" + "".join(r.choice([f" {a}={v or 'x'}", f" {a}='{v}'", f' {a.upper()} = "{v}"']) for a, v in attrs.items()) + ">" + markup(r, inner)
+        last = i == len(kids) - 1
+        free = tag in ("li", "td", "tr") or (tag == "p" and (last or (not isinstance(kids[i + 1], str) and kids[i + 1][0] in ("p", "div", "ul", "ol", "table"))))
+        out += "" if free and r.random() < 0.5 else f"</{tag}>"
+    return out
+
+
+def test_pages_against_a_plain_renderer():
+    for seed in range(400):
+        r = random.Random(seed)
+        kids = random_page(r)
+        page = markup(r, kids)
+        assert pages.page_text(page) == "\n".join(brute.page_lines(kids)), page
+
+
+def test_hard_pages_are_read_in_linear_time_and_keep_their_layout():
+    import time
+
+    assert pages.page_text("<div>" * 200 + "<span hidden>no</span>yes") == "yes"
+    assert pages.page_text("<div>" * 300 + "<ul><li>a<li>b</ul><table><tr><td>xy<td>z<tr><td>long<td>q</table>") == "- a\n- b\n\nxy    z\nlong  q"
+    assert pages.page_text('<a href="x"">y</a><b title=\'q>z') == "yz"
+    assert pages.page_text("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a  b\n   c"
+    began = time.time()
+    for part in ("<a ", '<a b="', "<a b='\" ", "<!--", "</script ", "<script>x</script ", "<div>", "<ul><li>a", "<table><tr><td>a<td>b", "<td rowspan=9999 colspan=1000>a", "<p><table><span>", "<", "&am", "<li>x", "<math><mfrac>1"):
+        pages.page_text(part * (200_000 // len(part)))
+    assert time.time() - began < 60
+    assert pages.page_text("<ul><li>" * 20_000 + "deep").endswith("deep")
+
+
 def test_formulas_and_labels_of_drawings_stay():
     cases_ = {
         "a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b": "a x=2 b",
