@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,10 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A batch ends at the row that takes it to this size.
 BATCH_BYTES = 4 << 20
 
+#: A key is hot with more than one in so many rows.
+HOT = 1000
+SALTS = 64
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -31,6 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     base = tempfile.mkdtemp(prefix="keyloom-")
+    atexit.register(shutil.rmtree, base, True)
     spark.conf.set("spark.checkpoint.dir", base)
     return base
 
@@ -86,6 +93,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hot_join(rows: DataFrame, side: DataFrame, on: list[tuple[str, str]], size: str, total: int) -> DataFrame:
+    """The rows with a match, each with the other columns of the one row of `side` that has its key (null-safe).
+
+    `size` says how many of the `total` rows have the key. A key with more than 1/HOT of all rows would fill one task
+    of a shuffled join: there are fewer than HOT of these, whatever the input, so they are broadcast, and in the join
+    with the rest their rows are spread by a salt. rows names no column like those of side.
+    """
+    met = lambda names: reduce(lambda a, b: a & b, [rows[a].eqNullSafe(F.col(b)) for (a, _), b in zip(on, names, strict=True)])
+    kept = [c for c in side.columns if c != size and c not in {b for _, b in on}]
+    hot = F.col(size) * HOT > F.lit(total)
+    few = side.where(hot).select(*[F.col(b).alias(f"_hot{i}") for i, (_, b) in enumerate(on)], F.struct(*kept).alias("_few"))
+    rest = side.where(~hot).select(*[F.col(b).alias(f"_key{i}") for i, (_, b) in enumerate(on)], F.struct(*kept).alias("_rest"), F.lit(0).cast("long").alias("_none"))
+    salt = F.when(F.col("_few").isNull(), 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    out = rows.join(F.broadcast(few), met([f"_hot{i}" for i in range(len(on))]), "left").withColumn("_salt", salt.cast("long"))
+    out = out.join(rest, met([f"_key{i}" for i in range(len(on))]) & (F.col("_salt") == F.col("_none")), "left")
+    out = out.withColumn("_side", F.coalesce("_few", "_rest")).where("_side is not null")
+    return out.select(*[f"`{c}`" for c in rows.columns], "_side.*")
+
+
 def unit_draw(*parts: Column) -> Column:
     """A uniform number in (0, 1) that the values alone decide."""
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11) + F.lit(0.5)) / F.lit(float(2**53))

@@ -8,8 +8,9 @@ For each row the log posterior of a language is the sum of
 Priors and likelihoods are grouped counts over all rows, by the language that the text alone says.
 
 The trigram model is fitted on a sample of labelled documents (`lang`), about SAMPLE_ROWS of them and LANG_ROWS
-more of each rare language, drawn by a hash of id and text; all else covers all rows. Languages are all labels, and each
-has a row in the sample at least; a label takes 128 KB of the model, which the driver and each worker hold.
+more of each rare language, drawn by a hash of id and text (null ids by the text); repeated rows are one row of the
+sample; all else covers all rows. Languages are all labels, MAX_LANGS at most (128 KB each on the driver and each worker);
+each has a row in the sample at least, if any of its texts has three bytes.
 
 Defined cases: a null or short text says nothing, so priors decide; missing host, declaration and suffix are
 values of their own; without labelled rows every language is "und"; ties go to the first language by
@@ -18,6 +19,7 @@ name; repeated rows count as often as they occur; empty tables give an empty res
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 
@@ -28,12 +30,15 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lean_batches, table, unit_draw
+from .common import cut, hot_join, lean_batches, table, unit_draw
+from .pages import block, parse
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE_ROWS = 4000
 LANG_ROWS = 40
+#: More languages are refused, before any is collected: their models would take over 256 MB of a worker.
+MAX_LANGS = 2000
 #: Languages whose dense counts a task holds at a time.
 HELD_LANGS = 100
 BUCKETS = 1 << 15
@@ -41,6 +46,7 @@ MAX_EVIDENCE = 60
 #: Pseudo-counts of the level above in the host hierarchy, and of an evidence value.
 PRIOR_ROWS, VALUE_ROWS = 20.0, 1.0
 CHUNK = 1 << 20
+LANG = re.compile(r"\s*([A-Za-z]{2,3}(?![A-Za-z]))?")
 
 
 def buckets(raw: bytes) -> Iterator[np.ndarray]:
@@ -72,13 +78,19 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
     """Log probabilities of trigram buckets by language."""
-    known = docs.where("lang is not null").withColumn("_u", unit_draw(F.col("doc_id"), F.col("text")))
-    langs = known.groupBy("lang").agg(F.count("*").alias("_n"), F.min("_u").alias("_least")).collect()
-    share = rows / max(1, sum(r["_n"] for r in langs))
-    upto = docs.sparkSession.createDataFrame([(r["lang"], max(share, LANG_ROWS / r["_n"], r["_least"])) for r in langs], "_lang string, _upto double")
-    sample = known.join(F.broadcast(upto), F.col("lang") == F.col("_lang")).where("_u <= _upto").select("lang", F.col("text").cast("binary"))
-    total: dict[str, np.ndarray] = {r["lang"]: np.zeros(BUCKETS, np.int64) for r in langs}
-    for r in sample.coalesce(8).mapInArrow(_counts, "lang string, at binary, counts binary").collect():
+    known = docs.where("lang is not null and octet_length(text) >= 3").withColumn("_u", unit_draw(F.col("doc_id"), F.col("text")))
+    langs = docs.where("lang is not null").select("lang").distinct()
+    if langs.limit(MAX_LANGS + 1).count() > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} languages: their models would not fit the workers")
+    names = sorted(r["lang"] for r in langs.collect())
+    found = known.groupBy("lang").agg(F.count("*").alias("_n"), F.min("_u").alias("_least")).collect()
+    share = rows / max(1, sum(r["_n"] for r in found))
+    upto = docs.sparkSession.createDataFrame([(r["lang"], max(share, LANG_ROWS / r["_n"], r["_least"])) for r in found], "_lang string, _upto double")
+    sample = known.join(F.broadcast(upto), F.col("lang") == F.col("_lang")).where("_u <= _upto")
+    # repeated rows draw alike: they are one row of the sample, and collapse before they move
+    sample = sample.groupBy("lang", "_u").agg(F.first("text").alias("text")).select("lang", F.col("text").cast("binary"))
+    total: dict[str, np.ndarray] = {x: np.zeros(BUCKETS, np.int64) for x in names}
+    for r in sample.mapInArrow(_counts, "lang string, at binary, counts binary").collect():
         total[r["lang"]][np.frombuffer(r["at"], np.int64)] += np.frombuffer(r["counts"], np.int64)
     return {k: np.log((total[k] + 0.5) / (total[k].sum() + 0.5 * BUCKETS)).astype(np.float32) for k in sorted(total)}
 
@@ -103,7 +115,7 @@ def likelihoods(shared):
 def _tally(df: DataFrame, by: str, n: int) -> DataFrame:
     """(by, counts): rows of each value by the language that the text says."""
     sums = [F.sum((F.col("said") == i).cast("double")).alias(f"n{i}") for i in range(n)]
-    return df.groupBy(by).agg(*sums).select(by, F.array(*[f"n{i}" for i in range(n)]).alias("counts"))
+    return df.groupBy(by).agg(*sums, F.count("*").alias("rows")).select(by, "rows", F.array(*[f"n{i}" for i in range(n)]).alias("counts"))
 
 
 def _total(x: Column) -> Column:
@@ -120,19 +132,20 @@ def fuse(rows: DataFrame, n: int) -> DataFrame:
     counted = found["counts"] if found else [0.0] * n
     base = F.array(*[F.lit((c + PRIOR_ROWS / n) / (sum(counted) + PRIOR_ROWS)) for c in counted])
     totals = F.array(*[F.lit(c) for c in counted])
+    many = found["rows"] if found else 0
     domains = _tally(rows, "domain", n).select(F.col("domain").alias("_d"), _smoothed(F.col("counts"), base, PRIOR_ROWS).alias("domain_p"))
     hosts = rows.select("host", "domain", "said").withColumn("_host", F.struct("domain", "host"))
-    hosts = _tally(hosts, "_host", n).select("_host.*", "counts")
-    hosts = hosts.join(domains, F.col("domain") == F.col("_d")).select(F.col("domain").alias("_hd"), F.col("host").alias("_h"), _smoothed(F.col("counts"), F.col("domain_p"), PRIOR_ROWS).alias("host_p"))
+    hosts = _tally(hosts, "_host", n).select("_host.*", "rows", "counts")
+    hosts = hosts.join(domains, F.col("domain") == F.col("_d")).select(F.col("domain").alias("_hd"), F.col("host").alias("_h"), "rows", _smoothed(F.col("counts"), F.col("domain_p"), PRIOR_ROWS).alias("host_p"))
 
     def given(by: str) -> DataFrame:
-        own = _tally(rows, by, n)
+        own = cut(_tally(rows, by, n))
         values = float(own.count())
-        return own.select(F.col(by).alias(f"_{by}"), F.zip_with("counts", totals, lambda c, t: (c + VALUE_ROWS) / (t + VALUE_ROWS * values)).alias(f"{by}_p"))
+        return own.select(F.col(by).alias(f"_{by}"), "rows", F.zip_with("counts", totals, lambda c, t: (c + VALUE_ROWS) / (t + VALUE_ROWS * values)).alias(f"{by}_p"))
 
-    out = rows.join(hosts, (F.col("domain") == F.col("_hd")) & (F.col("host") == F.col("_h")))
+    out = hot_join(rows, cut(hosts), [("domain", "_hd"), ("host", "_h")], "rows", many)
     for by in ("declared", "suffix"):
-        out = out.join(given(by), F.col(by) == F.col(f"_{by}"))
+        out = hot_join(out, given(by), [(by, f"_{by}")], "rows", many)
     logs = F.transform("ll", lambda x, i: x + F.log(F.get("host_p", i)) + F.log(F.get("declared_p", i)) + F.log(F.get("suffix_p", i)))
     return out.withColumn("logs", logs)
 
@@ -152,18 +165,29 @@ def identify(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     return fused.select("doc_id", "page_id", F.get(names, first(F.col("logs")).cast("int")).alias("lang"), F.round(posterior, 6).alias("posterior"), F.get(names, F.col("said").cast("int")).alias("text_lang"), "declared", "suffix", "host")
 
 
+@F.pandas_udf("declared string, text string")
+def evidence(page: pd.Series) -> pd.DataFrame:
+    """The language that a page declares (two or three letters that begin its lang), and its visible text."""
+
+    def one(raw: str | None) -> tuple[str, str]:
+        if not raw:
+            return "", ""
+        root = parse(raw)
+        return (LANG.match(root.attrs.get("lang", ""))[1] or "").lower(), "\n".join(block(root))
+
+    return pd.DataFrame([one(x) for x in page], columns=["declared", "text"])
+
+
 def page_rows(pages: DataFrame) -> DataFrame:
     """Evidence of web pages: the host and its last two labels, the declared language, and the address suffix
     (a language code that leads the path, else the top-level domain)."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1))
     code = F.lower(F.regexp_extract("url", r"^[^/]*//[^/]+/([A-Za-z]{2})(?:[/?#-]|$)", 1))
     top = F.regexp_extract(host, r"([^.]+)$", 1)
-    said = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
-    seen = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
-    return pages.select(
-        F.lit(None).cast("long").alias("doc_id"), "page_id", host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"),
-        said.alias("declared"), F.when(code != "", F.concat(F.lit("/"), code)).otherwise(top).alias("suffix"), seen.alias("text"),
-    )
+    seen = evidence(F.col("html"))
+    return pages.select("page_id", host.alias("host"), F.when(code != "", F.concat(F.lit("/"), code)).otherwise(top).alias("suffix"), seen.alias("seen")).select(
+        F.lit(None).cast("long").alias("doc_id"), "page_id", "host", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("domain"), F.col("seen.declared").alias("declared"), "suffix", F.col("seen.text").alias("text")
+    )
 
 
 def document_rows(docs: DataFrame) -> DataFrame:

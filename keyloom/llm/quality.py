@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, cut, pack, table, unpack
+from .common import WORD_GAP, cut, hot_join, pack, table, unpack
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -92,24 +92,28 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source") -> DataFram
     """`row` (all columns of docs), the base statistics, host_rate and `kept`.
 
     The rated rows are written once: the statistics are the dear part, and both the
-    host aggregate and the verdict read them. So are the verdicts: where their file is below Spark's
-    broadcast threshold, the join moves no text.
+    host aggregate and the verdict read them. So are the verdicts: those of hot hosts are broadcast, and so are the others where their
+    file is below Spark's broadcast threshold.
     """
     rated = cut(with_base(pack(docs).withColumn("host", F.col("row")[host]), F.col("row")[text]))
-    hosts = cut(host_verdicts(rated.select("host", "base_failed")))
-    met = rated["host"].eqNullSafe(hosts["host"])
-    joined = rated.join(hosts.select("host", "host_rate", "host_failed"), met, "left")
-    return joined.select("row", *BASE, "host_rate", (~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))).alias("kept"))
+    joined = with_verdicts(rated)
+    return joined.select("row", *BASE, "host_rate", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"))
+
+
+def with_verdicts(rated: DataFrame) -> DataFrame:
+    """rated (a written table with host, base_failed) with host_rate and host_failed."""
+    hosts = cut(host_verdicts(rated.select("host", "base_failed")).select(F.col("host").alias("_host"), "n", "host_rate", "host_failed"))
+    total = hosts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    return hot_join(rated, hosts, [("host", "_host")], "n", total)
 
 
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     # the result needs no text, so only the statistics are written
     rated = cut(with_base(docs.select("doc_id", F.col("source").alias("host"), "text"), F.col("text")).drop("text"))
-    hosts = host_verdicts(rated.select("host", "base_failed"))
-    joined = rated.join(hosts.select(F.col("host").alias("_h"), "host_rate", "host_failed"), F.col("host").eqNullSafe(F.col("_h")), "left")
-    kept = ~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))
-    return joined.select("doc_id", *BASE, kept.alias("kept"))
+    joined = with_verdicts(rated)
+    kept = ~F.col("base_failed") & ~F.col("host_failed")
+    return joined.select("doc_id", *BASE, kept.alias("kept"), F.round("host_rate", 9).alias("host_rate"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -135,9 +139,9 @@ h AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END)
 p AS (SELECT f / n AS m, q / n - (f / n) * (f / n) - (f / n) * (1 - f / n) * h / n AS v FROM (
       SELECT sum(n) AS n, sum(failed) AS f, sum(failed * failed / n) AS q, count(*) AS h FROM h)),
 k AS (SELECT m, greatest(2.0, least(1000.0, m * (1 - m) / greatest(v, 1e-6) - 1)) AS k FROM p),
-hv AS (SELECT source, (failed + k * m) / (n + k) > 0.8 AS host_failed FROM h, k)
+hv AS (SELECT source, (failed + k * m) / (n + k) AS host_rate FROM h, k)
 SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(hv.host_failed, FALSE) AS kept
+       NOT base_failed AND NOT coalesce(hv.host_rate > 0.8, FALSE) AS kept, round(host_rate, 9) AS host_rate
 FROM f LEFT JOIN hv ON f.source IS NOT DISTINCT FROM hv.source
 """
