@@ -1,15 +1,15 @@
 """Benchmark decontamination by one Aho-Corasick automaton.
 
-Benchmark texts are normalised to lower-case words; each run of 13 words (or a whole
-shorter item) is a pattern. Every document is normalised byte by byte, so that each
-normalised byte sits where its original does; one pass of the automaton over the joined words
-finds all windows of all items, and word offsets map back to the original.
+Benchmark texts are normalised to lower-case words. A window is a run of 13 words of an item (or
+a whole shorter item). Any window holds one of the item's blocks of seven words at the places 0, 7, 14, ..., so the
+automaton has these blocks only: about one node for each character of the benchmark. Every document is normalised byte by byte, so that
+each normalised byte sits where its original does; the automaton reads its joined words once. Around each block that it finds, document and
+item are compared as far as they agree, and an agreement of 13 words or more is hit. Word offsets map back to the original.
 
-A task builds its automaton from broadcast items, of at most MAX_CHARS characters together. A larger benchmark is
-dealt into as many blocks of items as that takes. The first block is scanned where the documents are read; each
-other block is a scan of its own, so that no worker holds two automata, and what it finds is joined to
-the documents, which are written once for that. One item is never cut: the longest item is the bound if it is
-longer than MAX_CHARS.
+A worker holds one automaton, of items of at most MAX_CHARS characters together, and builds it once. A larger
+benchmark is dealt into as many blocks of items as that takes. The first is scanned where the documents are read; each
+other one is a scan of its own, and what it finds is joined to the documents, which are written once for that. One item is
+never cut.
 
 Defined cases: null or wordless texts have no words and no hits; an item without
 words is ignored; a null item_id marks hits but is not listed; repeated items count once; an empty
@@ -37,52 +37,70 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SPAN = 13
 #: Hit words are at least a twentieth of the words of a contaminated document.
 HIT_SHARE = 20
-#: Characters of the items of one automaton: at most 13 nodes of about 51 bytes each, so 200 MB.
-MAX_CHARS = 300_000
+#: Characters of the items of one automaton: a node of about 51 bytes each, so 200 MB.
+MAX_CHARS = 4_000_000
 
 #: Bytes that are no part of words become spaces, A-Z become lower case.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
-def item_windows(text: str | None, span: int = SPAN) -> list[str]:
-    words = (text or "").encode("utf-8", "replace").translate(FOLD).decode("utf-8", "replace").split(" ")
-    words = [w for w in words if w]
-    if not words:
-        return []
-    return [" " + " ".join(words[i : i + span]) + " " for i in range(max(1, len(words) - span + 1))]
-
-
-def automaton(items: list[tuple[object, str | None]], span: int = SPAN):
-    """Patterns to (length in characters, words, ids of items); None without patterns."""
-    found: dict[str, set] = {}
-    for ident, text in items:
-        for w in item_windows(text, span):
-            found.setdefault(w, set()).update(() if ident is None else (ident,))
-    if not found:
-        return None
-    auto = ahocorasick.Automaton()
-    for w, ids in found.items():
-        auto.add_word(w, (len(w), w.count(" ") - 1, tuple(ids)))
-    auto.make_automaton()
-    return auto
-
-
-def scan(raw: bytes | None, auto) -> tuple[int, list[tuple[int, int]], set]:
-    """Number of words, hit intervals of word positions, items found."""
-    words = (raw or b"").translate(FOLD).split()
-    if not words or auto is None:
-        return len(words), [], set()
-    text = " " + b" ".join(words).decode("utf-8", "replace") + " "
-    hits = list(auto.iter(text))
-    if not hits:
-        return len(words), [], set()
-    gaps = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32) == 32)
-    spans, items = [], set()
-    for end, (length, n, ids) in hits:
-        first = int(np.searchsorted(gaps, end - length + 1))
-        spans.append((first, first + n))
-        items.update(ids)
-    return len(words), united(spans), items
+def words_of(raw: bytes | None) -> list[bytes]:
+    return (raw or b"").translate(FOLD).split()
+
+
+class Automaton:
+    """The words of benchmark items, and one automaton over their blocks."""
+
+    def __init__(self, items: list[tuple[object, str | None]], span: int = SPAN):
+        self.span = span
+        self.ids: list[object] = []
+        self.texts: list[list[bytes]] = []
+        width = (span + 1) // 2
+        blocks: dict[bytes, tuple[int, list]] = {}
+        for ident, text in items:
+            own = words_of((text or "").encode("utf-8", "replace"))
+            if not own:
+                continue
+            length = len(own) if len(own) < span else width
+            for o in range(0, len(own) - length + 1, length):
+                blocks.setdefault(b" ".join(own[o : o + length]), (length, []))[1].append((len(self.ids), o))
+            self.ids.append(ident)
+            self.texts.append(own)
+        self.auto = ahocorasick.Automaton()
+        for block, found in blocks.items():
+            self.auto.add_word(f" {block.decode('utf-8', 'replace')} ", found)
+        if blocks:
+            self.auto.make_automaton()
+
+    def scan(self, raw: bytes | None) -> tuple[int, list[tuple[int, int]], set]:
+        """Number of words, hit intervals of word positions, items found."""
+        doc = words_of(raw)
+        text = f" {b' '.join(doc).decode('utf-8', 'replace')} "
+        hits = list(self.auto.iter(text)) if doc and self.ids else []
+        if not hits:
+            return len(doc), [], set()
+        gaps = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32) == 32)
+        ends = np.searchsorted(gaps, [end for end, _ in hits]).tolist()  # word after the block
+        spans, items, done = [], set(), {}
+        for end, (_, (length, places)) in zip(ends, hits, strict=True):
+            first = end - length
+            for at, o in places:
+                own = self.texts[at]
+                a, x, b, y = first, o, end, o + length
+                if len(own) >= self.span:  # how far document and item agree around the block
+                    if done.get((at, first - o), -1) >= end:
+                        continue
+                    while a and x and doc[a - 1] == own[x - 1]:
+                        a, x = a - 1, x - 1
+                    while b < len(doc) and y < len(own) and doc[b] == own[y]:
+                        b, y = b + 1, y + 1
+                    done[at, first - o] = b
+                    if b - a < self.span:
+                        continue
+                spans.append((a, b))
+                if self.ids[at] is not None:
+                    items.add(self.ids[at])
+        return len(doc), united(spans), items
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -103,15 +121,17 @@ def original_spans(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int,
 
 
 def scanner(shared):
-    """A UDF over the texts of a task: it builds the automaton of the broadcast items once."""
+    """A UDF over the texts of a task. The automaton of the broadcast items is built once in a worker, and kept with them."""
 
     @F.pandas_udf("n_words long, hits array<struct<a:long,b:long>>, items array<string>")
     def block(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        auto = automaton(shared.value)
+        held = shared.value
+        if "automaton" not in held:
+            held["automaton"] = Automaton(held["items"])
         for texts in parts:
             rows = []
             for raw in texts:
-                n, spans, ids = scan(raw, auto)
+                n, spans, ids = held["automaton"].scan(raw)
                 rows.append((n, [{"a": a, "b": b} for a, b in spans], sorted(map(str, ids))))
             yield pd.DataFrame(rows, columns=["n_words", "hits", "items"])
 
@@ -141,7 +161,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     spark = docs.sparkSession
     lean_batches(spark)
     body = F.col("row")[text].cast("binary")
-    scan_of = lambda items: scanner(spark.sparkContext.broadcast(items))(body).alias("f")
+    scan_of = lambda items: scanner(spark.sparkContext.broadcast({"items": items}))(body).alias("f")
     first, *others = [scan_of(items) for items in item_blocks(benchmark, item, item_text, max_chars)]
     if not others:
         out = pack(docs).select("row", first).select("row", "f.n_words", "f.hits", F.array_sort("f.items").alias("item_ids"))
