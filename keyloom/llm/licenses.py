@@ -11,7 +11,8 @@ Windows that overlap are one run, which is cut into occurrences: one ends where
 
 The templates are broadcast: a fixed table (MAX_TEMPLATES at most).
 
-Defined cases: null and short texts have no match; what is left of a run after its last
+Defined cases: templates of fewer than five words are refused, as none of their shingles would be in a longer text;
+null and short texts have no match; what is left of a run after its last
 occurrence is none; repeated rows are scanned each; an empty table gives an empty result; further columns are
 carried along untouched.
 """
@@ -115,6 +116,8 @@ class Scanner:
     def __init__(self, templates: Mapping[str, str]):
         if len(templates) > MAX_TEMPLATES:
             raise ValueError(f"over {MAX_TEMPLATES} templates")
+        if short := [name for name, t in templates.items() if len(words_of(t.encode())) < SHINGLE]:
+            raise ValueError(f"a template needs {SHINGLE} words at least: {short}")
         self.shingles = {name: np.unique(shingle_hashes(words_of(t.encode()))) for name, t in templates.items()}
         self.classes: dict[int, dict[int, list[str]]] = {}
         self.keys: dict[int, np.ndarray] = {}
@@ -231,6 +234,7 @@ def find_licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, t
     """`row` (all columns of docs) and `found`, the occurrences with their word positions."""
     spark = docs.sparkSession
     lean_batches(spark)
+    Scanner(templates or TEMPLATES)  # refuses what it cannot find, here and not in a task
     shared = spark.sparkContext.broadcast(dict(templates or TEMPLATES))
     return pack(docs).withColumn("found", scanner(shared)(F.col("row")[text].cast("binary")))
 
