@@ -23,6 +23,9 @@ BATCH_BYTES = 4 << 20
 HOT = 1000
 SALTS = 64
 
+#: Words of 64 bits of a filter that is broadcast.
+FILTER_WORDS = 1 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -112,6 +115,21 @@ def hot_join(rows: DataFrame, side: DataFrame, on: list[tuple[str, str]], size:
     return out.select(*[f"`{c}`" for c in rows.columns], "_side.*")
 
 
+def possible(rows: DataFrame, keys: DataFrame, names: list[str], found: bool = True) -> DataFrame:
+    """Rows whose columns `names` may be among those of keys, or (found=False) are not for certain.
+
+    A Bloom filter in a table of FILTER_WORDS words at most, which is broadcast: only rows that pass need to move for
+    the exact join with the keys. When the filter is full all rows pass, and the join is as it would be without.
+    """
+    h = F.xxhash64(*names)
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int"))
+    word, bits = F.shiftrightunsigned(h, 18).bitwiseAND(F.lit(FILTER_WORDS - 1)), bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12))
+    words = keys.select(word.alias("_w"), bits.alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_b"))
+    met = rows.join(F.broadcast(words), word == F.col("_w"), "left")
+    within = F.coalesce(F.col("_b").bitwiseAND(bits) == bits, F.lit(False))
+    return met.where(within if found else ~within).drop("_w", "_b")
+
+
 def unit_draw(*parts: Column) -> Column:
     """A uniform number in (0, 1) that the values alone decide."""
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11) + F.lit(0.5)) / F.lit(float(2**53))

@@ -165,9 +165,8 @@ def identify(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     return fused.select("doc_id", "page_id", F.get(names, first(F.col("logs")).cast("int")).alias("lang"), F.round(posterior, 6).alias("posterior"), F.get(names, F.col("said").cast("int")).alias("text_lang"), "declared", "suffix", "host")
 
 
-@F.pandas_udf("declared string, text string")
-def evidence(page: pd.Series) -> pd.DataFrame:
-    """The language that a page declares (two or three letters that begin its lang), and its visible text."""
+def evidence():
+    """A UDF from pages to the language that a page declares (two or three letters that begin its lang), and its visible text."""
 
     def one(raw: str | None) -> tuple[str, str]:
         if not raw:
@@ -175,7 +174,11 @@ def evidence(page: pd.Series) -> pd.DataFrame:
         root = parse(raw)
         return (LANG.match(root.attrs.get("lang", ""))[1] or "").lower(), "\n".join(block(root))
 
-    return pd.DataFrame([one(x) for x in page], columns=["declared", "text"])
+    @F.pandas_udf("declared string, text string")
+    def of(page: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x) for x in page], columns=["declared", "text"])
+
+    return of
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -184,7 +187,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1))
     code = F.lower(F.regexp_extract("url", r"^[^/]*//[^/]+/([A-Za-z]{2})(?:[/?#-]|$)", 1))
     top = F.regexp_extract(host, r"([^.]+)$", 1)
-    seen = evidence(F.col("html"))
+    seen = evidence()(F.col("html"))
     return pages.select("page_id", host.alias("host"), F.when(code != "", F.concat(F.lit("/"), code)).otherwise(top).alias("suffix"), seen.alias("seen")).select(
         F.lit(None).cast("long").alias("doc_id"), "page_id", "host", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("domain"), F.col("seen.declared").alias("declared"), "suffix", F.col("seen.text").alias("text")
     )

@@ -35,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lean_batches, pack
+from .common import cut, lean_batches, pack, possible
 from .components import components
 from .simhash import SHARD_CAP, majority, search_shards
 
@@ -48,8 +48,6 @@ RADIUS = 24
 SMALL, SMALL_RADIUS = 8, 28
 CHUNK_ROWS = 4096
 CHUNK_BYTES = 4 << 20
-#: Words of 64 bits of the filter that is broadcast.
-FILTER_WORDS = 1 << 20
 #: Shingles whose minima are taken in one step.
 STEP = 1 << 12
 MULTIPLY = np.array([xxhash.xxh64_intdigest(b"multiply %d" % i) | 1 for i in range(BANDS * ROWS)], np.uint64)
@@ -204,33 +202,13 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     chunks = F.greatest(F.ceil(F.col("n") / F.lit(chunk_rows)), F.ceil(F.col("m") / F.lit(chunk_bytes)), F.lit(1)).cast("long")
     members = cut(rooted.join(size.select("root", chunks.alias("chunks")), "root").select("least.none", "least.id", "least.hash", "sid", "fp", "root", "chunks"))
     names = ["none", "id", "hash"]
-    own = possible(rows.select(*key, body.alias("t")), members).groupBy(*names).agg(F.first("t").alias("t"))  # repeated rows collapse before they move
+    own = possible(rows.select(*key, body.alias("t")), members, names).groupBy(*names).agg(F.first("t").alias("t"))  # repeated rows collapse before they move
     texts = own.join(members, names)
     dealt = texts.select("root", F.explode(chunk_pairs(F.xxhash64("sid"))).alias("g"), "sid", "fp", "t").select("root", "g.i", "g.j", "sid", "fp", "t")
     found = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_compare(k), "a long, b long")
     return winners(rows, key, sigs.select("ident", "sid"), rooted.select("sid", "least"), components(found))
 
 
-def marks() -> tuple[Column, Column]:
-    """The word of a filter that an ident (none, id, hash) stands in, and its bits there."""
-    h = F.xxhash64("none", "id", "hash")
-    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int"))
-    return F.shiftrightunsigned(h, 18).bitwiseAND(F.lit(FILTER_WORDS - 1)), bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12))
-
-
-def possible(here: DataFrame, idents: DataFrame, found: bool = True) -> DataFrame:
-    """Rows that may be among the idents, or (found=False) those that are not for certain.
-
-    A Bloom filter in a table of FILTER_WORDS words at most, which is broadcast: only rows that pass take part in
-    the exact join with the idents. When the filter is full all rows pass, and the join is as it would be without.
-    """
-    word, bits = marks()
-    words = idents.select(word.alias("_w"), bits.alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_b"))
-    met = here.join(F.broadcast(words), word == F.col("_w"), "left")
-    within = F.coalesce(F.col("_b").bitwiseAND(bits) == bits, F.lit(False))
-    return met.where(within if found else ~within).drop("_w", "_b")
-
-
 def winners(rows: DataFrame, key: list[Column], sigs: DataFrame, named: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows whose ident is the least of their group, and of rows with equal idents one.
 
@@ -245,10 +223,10 @@ def winners(rows: DataFrame, key: list[Column], sigs: DataFrame, named: DataFram
     both = gone.select("ident", F.lit(1).alias("goes")).union(again.select("ident", F.lit(0)))
     noted = cut(both.groupBy("ident").agg(F.max("goes").alias("goes")).select("ident.none", "ident.id", "ident.hash", "goes"))
     here = rows.select("row", *key)
-    near = possible(here, noted).join(noted, names, "left")
+    near = possible(here, noted, names).join(noted, names, "left")
     alone = near.where("goes is null").select("row")
     first = near.where("goes = 0").groupBy(*names).agg(F.first("row").alias("row")).select("row")
-    return possible(here, noted, found=False).select("row").union(alone).union(first).select("row.*")
+    return possible(here, noted, names, found=False).select("row").union(alone).union(first).select("row.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

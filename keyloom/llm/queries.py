@@ -20,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op3_raked_mix": mixing.ORACLE,
     "op4_host_quality": quality.ORACLE,
+    "op7_merged_bwt": suffixes.ORACLE,
     "op10_decontaminate": decontam.ORACLE,
 }

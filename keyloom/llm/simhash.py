@@ -33,7 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lean_batches, table
+from .common import cut, hot_join, lean_batches, table
 from .components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -215,10 +215,11 @@ def op1_bk_tree_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     lean_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sigs = cut(docs.select("doc_id", fingerprints()(F.col("text").cast("binary")).alias("fp")))
-    named = cut(sigs.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    named = cut(sigs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     linked = group_fingerprints(named.select("fp"))
     met = linked.join(named, linked["node"] == named["fp"]).select("fp", "root", "least")
     named_roots = met.groupBy("root").agg(F.min("least").alias("component_id"))
     label = met.join(named_roots, "root").select(F.col("fp").alias("f"), "component_id")
-    label = named.join(label, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("f"), F.coalesce("component_id", "least").alias("component_id"))
-    return sigs.join(label, F.col("fp") == F.col("f")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    label = cut(named.join(label, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("_fp"), "n", F.coalesce("component_id", "least").alias("component_id")))
+    total = label.agg(F.sum("n").alias("n")).first()["n"] or 0
+    return hot_join(sigs, label, [("fp", "_fp")], "n", total).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

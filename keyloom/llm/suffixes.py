@@ -2,10 +2,11 @@
 
 A byte is removed if a 50-byte string over it also starts in a document with a smaller id. The steps:
 
-1. Equal texts are one text, with the least id; later copies go as a whole (if they hold a string at all).
+1. Equal texts (by SHA-256) are one text, with the least id; later copies go as a whole (if they hold a string at all), and
+   take no part in what follows.
 2. The key of a 50-byte string is the least hash of its 28-byte pieces, so it depends on the string only, and
-   neighbouring strings mostly share it. Keys that occur in two texts are found by dealing the keys of all texts,
-   packed by batch, to parts; what a batch already knows to be repeated is sent once.
+   neighbouring strings mostly share it. Keys that occur in two documents are found by dealing the keys of all
+   texts, packed by batch, to parts; what a batch already knows to be repeated is sent once.
 3. Runs of strings with one repeated key are cut out as contexts (at most 72 bytes). Equal contexts are one row
    with the least id (a grouped minimum, so hot passages collapse before they move).
 4. Contexts with one key meet in a task. Their shards' transforms are merged by interleave refinement, 50 rounds
@@ -32,11 +33,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import repeated_minima
-from .common import cut, lean_batches, table
+from .common import cut, hot_join, lean_batches, possible, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -51,6 +52,8 @@ MERGE = 1 << 20
 #: Text bytes whose keys make one part, about, and the fewest parts.
 PART_BYTES, MIN_PARTS = 32 << 20, 32
 CHUNK = 1 << 22
+#: Stands for several documents; no document has this id.
+SEVERAL = np.iinfo(np.int64).min
 B = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(17)]
 
 
@@ -88,9 +91,9 @@ def _spans(cuts: np.ndarray, end: int) -> list[tuple[int, int]]:
 
 
 def key_parts(n_parts: int):
-    """(text_key, text) to rows (part, keys, owner, texts): the distinct keys of each batch by part.
+    """(doc_id, text) to rows (part, keys, owners): the distinct keys of each batch by part.
 
-    A key in several texts of the batch is sent as one entry of the pseudo text 0 and once more to its own texts, as a row
+    A key of several documents of the batch is sent as one entry of the owner SEVERAL and once more to its documents, as a row
     of a negative part, which is an answer already.
     """
 
@@ -98,14 +101,11 @@ def key_parts(n_parts: int):
         for batch in batches:
             ids = np.asarray(batch.column(0))
             keys, own = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
-            seen = set()
             for i, raw in enumerate(batch.column(1).to_pylist()):
-                if raw and len(raw) >= LENGTH and ids[i] not in seen:
-                    seen.add(ids[i])
-                    k = string_keys(raw)
-                    k = np.unique(k[np.concatenate([[True], k[1:] != k[:-1]])])
-                    keys.append(k)
-                    own.append(np.full(len(k), i, np.uint32))
+                k = string_keys(raw)
+                k = np.unique(k[np.concatenate([[True], k[1:] != k[:-1]])])
+                keys.append(k)
+                own.append(np.full(len(k), i, np.uint32))
             key, owner = np.concatenate(keys), np.concatenate(own)
             order = np.argsort(key, kind="stable")
             key, owner = key[order], owner[order]
@@ -119,7 +119,7 @@ def key_parts(n_parts: int):
             once = np.unique(key[twin])
             text = ids[owner[~twin]]
             key = np.concatenate([key[~twin], once])
-            text = np.concatenate([text, np.zeros(len(once), np.int64)])
+            text = np.concatenate([text, np.full(len(once), SEVERAL)])
             to = (key % np.uint64(n_parts)).astype(np.int64)
             order = np.lexsort((text, to))  # equal ids side by side compress well
             key, text, to = key[order], text[order], to[order]
@@ -127,37 +127,39 @@ def key_parts(n_parts: int):
             rows = [(p, k.tobytes(), ids[o].tobytes()) for p, (k, o) in zip(part, packs, strict=True)]
             rows += [(int(to[a]), key[a:b].tobytes(), text[a:b].tobytes()) for a, b in _spans(cuts, len(to))]
             kinds = [pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 3, kinds, strict=True)], ["part", "keys", "texts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 3, kinds, strict=True)], ["part", "keys", "owners"])
 
     return run
 
 
 def repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of parts, sorted by part, to (text_key, keys): the keys of a text that another text has too."""
-
-    def out(key: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
-        keep = text != 0
-        key, text = key[keep], text[keep]
-        order = np.argsort(text, kind="stable")
-        key, text = key[order], text[order]
-        names, cuts = np.unique(text, return_index=True)
+    """Rows of parts, sorted by part, to (doc_id, keys): the keys of a document that another document has too."""
+
+    def out(key: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+        keep = owner != SEVERAL
+        key, owner = key[keep], owner[keep]
+        order = np.lexsort((key, owner))
+        key, owner = key[order], owner[order]
+        new = np.ones(len(key), bool)  # a key goes to a document once
+        new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        key, owner = key[new], owner[new]
+        names, cuts = np.unique(owner, return_index=True)
         blobs = [key[a:b].tobytes() for a, b in _spans(cuts, len(key))]
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["text_key", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "keys"])
 
     def flush(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         key = np.concatenate([np.frombuffer(k, np.uint64) for k, _ in held])
-        text = np.concatenate([np.frombuffer(t, np.int64) for _, t in held])
-        order = np.lexsort((text, key))
-        key, text = key[order], text[order]
+        owner = np.concatenate([np.frombuffer(t, np.int64) for _, t in held])
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
         start = np.ones(len(key), bool)
         start[1:] = key[1:] != key[:-1]
         group = np.cumsum(start) - 1
-        # repeated: two different texts, or an entry for several texts of a batch (0)
-        first = text[np.flatnonzero(start)]
-        odd = np.zeros(group[-1] + 1, bool)
-        odd[group[text != first[group]]] = True
-        odd |= first == 0
-        return out(key[odd[group]], text[odd[group]])
+        # repeated: two different documents, or an entry for several documents of a batch
+        first = owner[np.flatnonzero(start)]
+        odd = first == SEVERAL
+        odd[group[owner != first[group]]] = True
+        return out(key[odd[group]], owner[odd[group]])
 
     now, held = None, []
     for batch in batches:
@@ -229,20 +231,21 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def interval_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, context, least, last, piece), sorted by key, to (context, minima): the least id of each string in the context.
+    """(key, context, least, last, piece, n), sorted by key, to (context, n, minima): the least id of each string in the context.
 
     A string that two contexts share holds the piece, so they agree on one of the REACH pairs around it. A context that agrees
     so with no other of its key shares strings with its own copies only, and needs no merge.
     """
 
-    def flush(strings: list[bytes], least: list[int], single: list[tuple[bytes, int]]) -> pa.RecordBatch:
+    def flush(strings: list[bytes], least: list[int], counts: list[int], single: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
         found = repeated_minima(strings, np.array(least, np.int64), LENGTH) if strings else []
-        found += [np.full(len(c) - LENGTH + 1, low, np.int64) for c, low in single]
+        found += [np.full(len(c) - LENGTH + 1, low, np.int64) for c, low, _ in single]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
         values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(strings + [c for c, _ in single], pa.binary()), values], ["context", "minima"])
+        columns = [pa.array(strings + [c for c, _, _ in single], pa.binary()), pa.array(counts + [n for _, _, n in single], pa.int64()), values]
+        return pa.RecordBatch.from_arrays(columns, ["context", "n", "minima"])
 
-    strings, least, single, size = [], [], [], 0
+    strings, least, counts, single, size = [], [], [], [], 0
     now, group = None, []
 
     def close() -> None:
@@ -252,16 +255,17 @@ def interval_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         else:
             agree = [False] * len(group)
             for a, b in REACH:
-                around = [c[p - a : p + PIECE + b] if p >= a and len(c) >= p + PIECE + b else None for c, _, _, p in group]
+                around = [c[p - a : p + PIECE + b] if p >= a and len(c) >= p + PIECE + b else None for c, _, _, p, _ in group]
                 n = Counter(around)
                 agree = [was or (x is not None and n[x] > 1) for was, x in zip(agree, around, strict=True)]
-        for (context, low, last, _), merge in zip(group, agree, strict=True):
+        for (context, low, last, _, n), merge in zip(group, agree, strict=True):
             if merge:
                 strings.append(context)
                 least.append(low)
+                counts.append(n)
                 size += len(context) + 1
             elif low < last:
-                single.append((context, low))
+                single.append((context, low, n))
 
     for batch in batches:
         for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -269,11 +273,11 @@ def interval_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 close()
                 now, group = key, []
                 if size > MERGE or len(single) > 50_000:
-                    yield flush(strings, least, single)
-                    strings, least, single, size = [], [], [], 0
+                    yield flush(strings, least, counts, single)
+                    strings, least, counts, single, size = [], [], [], [], 0
             group.append(row)
     close()
-    yield flush(strings, least, single)
+    yield flush(strings, least, counts, single)
 
 
 def removal(raw: bytes, hits: np.ndarray) -> tuple[int, int, str]:
@@ -293,49 +297,85 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     lean_batches(spark, 256)
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body, F.octet_length(body)).alias("text_key"))
-    ident = cut(texts.select("doc_id", "text_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")))
-    known = ident.where("doc_id is not null")
-    firsts = cut(known.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")))
-    n_parts = max(MIN_PARTS, (known.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0) // PART_BYTES)
-    sent = texts.where(F.col("doc_id").isNotNull()).select("text_key", "text").mapInArrow(key_parts(n_parts), "part long, keys binary, texts binary")
-    answers = sent.repartition("part").sortWithinPartitions("part").mapInArrow(repeated_keys, "text_key long, keys binary")
-    keys = cut(answers.groupBy("text_key").agg(F.collect_list("keys").alias("keys")).join(firsts, "text_key"))
-    # by both columns, so that many copies of a text do not meet; rows with equal id and text only repeat contexts
-    met = texts.join(keys, ["text_key", "doc_id"])
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_key"))
+    sha = F.unhex(F.sha2("text", 256))
+    ident = cut(rows.select("doc_id", "text_key", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha")))
+    same = cut(ident.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).withColumnRenamed("sha", "same"))
+    total = same.agg(F.sum("n").alias("n")).first()["n"] or 0
+    texts, n_bytes = first_copies(rows, sha, ident, same, total)
+    n_parts = max(MIN_PARTS, n_bytes // PART_BYTES)
+    sent = texts.select("doc_id", "text").mapInArrow(key_parts(n_parts), "part long, keys binary, owners binary")
+    answers = sent.repartition("part").sortWithinPartitions("part").mapInArrow(repeated_keys, "doc_id long, keys binary")
+    keys = cut(answers.groupBy("doc_id").agg(F.collect_list("keys").alias("keys")))  # no longer than the text: its distinct keys
+    met = possible(texts, keys, ["doc_id"]).join(keys, "doc_id")
     places = cut(met.select("text_key", "doc_id", "text", "keys").mapInArrow(contexts, CONTEXT))
-    distinct = cut(places.groupBy("key", "context").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.min("piece").alias("piece")))
+    distinct = cut(places.groupBy("key", "context").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.min("piece").alias("piece"), F.count("*").alias("n")))
     hot = cut(distinct.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_CAP).select("key"))
-    merged = distinct.join(hot, "key", "left_anti").select("key", "context", "least", "last", "piece").repartition("key").sortWithinPartitions("key")
-    merged = merged.mapInArrow(interval_minima, "context binary, minima array<long>")
+    merged = distinct.join(hot, "key", "left_anti").select("key", "context", "least", "last", "piece", "n").repartition("key").sortWithinPartitions("key")
+    merged = merged.mapInArrow(interval_minima, "context binary, n long, minima array<long>")
     starts = F.sequence(F.lit(1), F.octet_length("context") - (LENGTH - 1))
-    each = distinct.join(hot, "key", "left_semi").select("context", "least", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("context"), i, F.lit(LENGTH)))).alias("at", "string"))
+    each = distinct.join(hot, "key", "left_semi").select("context", "n", "least", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("context"), i, F.lit(LENGTH)))).alias("at", "string"))
     low = each.groupBy("string").agg(F.min("least").alias("low"))
-    split = each.join(low, "string").groupBy("context").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("m")).select("context", F.transform("m", lambda x: x["low"]).alias("minima"))
-    name = [F.xxhash64("context").alias("n0"), F.xxhash64("context", F.lit(LENGTH)).alias("n1")]
-    found = cut(merged.unionByName(split).select(*name, "minima"))
+    split = each.join(low, "string").groupBy("context").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "low"))).alias("m")).select("context", "n", F.transform("m", lambda x: x["low"]).alias("minima"))
+    name = lambda a, b: [F.xxhash64("context").alias(a), F.xxhash64("context", F.lit(LENGTH)).alias(b)]
+    found = cut(merged.unionByName(split).select(*name("f0", "f1"), "n", "minima"))
+    many = distinct.agg(F.sum("n").alias("n")).first()["n"] or 0
     bits = F.transform("minima", lambda m, i: F.when(m < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     mask = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    hits = places.select(*name, "text_key", "doc_id", "start").join(found, ["n0", "n1"]).select("text_key", "doc_id", "start", mask.alias("mask")).where("mask <> 0")
+    hits = hot_join(places.select(*name("n0", "n1"), "text_key", "doc_id", "start"), found, [("n0", "f0"), ("n1", "f1")], "n", many)
+    hits = hits.select("text_key", "doc_id", "start", mask.alias("mask")).where("mask <> 0")
     hits = cut(hits.groupBy("text_key", "doc_id").agg(F.collect_list(F.call_function("shiftleft", F.col("start"), F.lit(RUN)).bitwiseOR(F.col("mask"))).alias("hits")))
 
     @F.pandas_udf("n_removed long, n_spans long, sha string")
     def removed(raw: pd.Series, found: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([removal(r, np.asarray(h, np.int64)) for r, h in zip(raw, found, strict=True)], columns=["n_removed", "n_spans", "sha"])
 
-    done = texts.join(hits, ["text_key", "doc_id"]).select("text_key", "doc_id", removed("text", "hits").alias("r"))
-    done = done.groupBy("text_key", "doc_id").agg(F.first("r").alias("r"))  # repeated rows have equal results
-    rows = ident.join(firsts.withColumnRenamed("doc_id", "first_id"), "text_key", "left").join(done, ["text_key", "doc_id"], "left")
+    done = possible(texts, hits, ["text_key", "doc_id"]).join(hits, ["text_key", "doc_id"]).select(sha.alias("same"), removed("text", "hits").alias("r"))
+    side = cut(same.join(done, "same", "left").select("same", "n", "first_id", "r"))
+    out = hot_join(ident, side, [("sha", "same")], "n", total)
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= LENGTH)
+    first = F.col("doc_id") == F.col("first_id")
     nothing = hashlib.sha256(b"").hexdigest()
-    return rows.select(
+    return out.select(
         "doc_id",
         "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("r.n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.lit(1)).otherwise(F.coalesce("r.n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.lit(nothing)).otherwise(F.coalesce("r.sha", "sha")).alias("kept_sha256"),
+        F.when(copy, F.col("n_bytes")).when(first, F.coalesce("r.n_removed", F.lit(0))).otherwise(0).cast("long").alias("n_removed"),
+        F.when(copy, F.lit(1)).when(first, F.coalesce("r.n_spans", F.lit(0))).otherwise(0).cast("long").alias("n_spans"),
+        F.when(copy, F.lit(nothing)).when(first, F.coalesce("r.sha", F.lower(F.hex("sha")))).otherwise(F.lower(F.hex("sha"))).alias("kept_sha256"),
     )
 
 
+def first_copies(rows: DataFrame, sha: Column, ident: DataFrame, same: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """(doc_id, text, text_key) of each different text of LENGTH bytes or more, once, with its least id; and their bytes, about.
+
+    Only texts that are copies or repeated rows, as far as a filter can tell, move.
+    """
+    long = ident.where((F.col("n_bytes") >= LENGTH) & F.col("doc_id").isNotNull())
+    copies = hot_join(long, same, [("sha", "same")], "n", total).where("doc_id > first_id").select("doc_id", "text_key", "sha", F.lit(1).alias("goes"))
+    again = long.groupBy("doc_id", "text_key", "sha").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key", "sha", F.lit(0).alias("goes"))
+    noted = cut(copies.union(again).groupBy("doc_id", "text_key", "sha").agg(F.max("goes").alias("goes")))
+    big = rows.where((F.octet_length("text") >= LENGTH) & F.col("doc_id").isNotNull())
+    near = possible(big, noted, ["doc_id", "text_key"]).withColumn("sha", sha).join(noted.select("doc_id", "sha", "goes"), ["doc_id", "sha"], "left")
+    alone = near.where("goes is null").select("doc_id", "text", "text_key")
+    first = near.where("goes = 0").groupBy("doc_id", "sha").agg(F.first("text").alias("text"), F.first("text_key").alias("text_key")).select("doc_id", "text", "text_key")
+    n_bytes = long.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
+    return possible(big, noted, ["doc_id", "text_key"], found=False).select("doc_id", "text", "text_key").union(cut(alone.union(first))), n_bytes
+
+
 def op7_merged_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+c AS MATERIALIZED (SELECT rid, doc_id, o, substr(h, CAST(2 * o + 1 AS INTEGER), 610) AS h FROM (SELECT rid, doc_id, h, unnest(range(0, len(h) // 2 - 49, 256)) AS o FROM d WHERE len(h) >= 100 AND doc_id IS NOT NULL)),
+p AS MATERIALIZED (SELECT rid, doc_id, o + i AS i, substr(h, CAST(2 * i + 1 AS INTEGER), 100) AS s FROM (SELECT rid, doc_id, o, h, unnest(range(0, least(256, len(h) // 2 - 49))) AS i FROM c)),
+f AS (SELECT s, min(doc_id) AS first_id, max(doc_id) AS last_id FROM p GROUP BY s HAVING first_id < last_id),
+g AS (SELECT rid, i, coalesce(i - lag(i) OVER (PARTITION BY rid ORDER BY i) > 50, TRUE) AS fresh FROM p JOIN f USING (s) WHERE first_id < doc_id),
+n AS (SELECT rid, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY rid ORDER BY i) AS span FROM g),
+r AS MATERIALIZED (SELECT rid, span, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY rid, span),
+k AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY rid ORDER BY a) AS after FROM r),
+t AS (SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, CAST(2 * before + 1 AS INTEGER), CAST(2 * (a - before) AS INTEGER)) || CASE WHEN after IS NULL THEN substr(h, CAST(2 * b + 1 AS INTEGER)) ELSE '' END, '' ORDER BY a) AS kept FROM k JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t USING (rid)
+"""

@@ -5,8 +5,8 @@ inside (checked when the model is loaded), so a text may be cut there and its co
 pieces cut: pre-tokens, each a run of spaces or one line feed with what follows. Each distinct pre-token is
 encoded once. Documents keep frequencies of pre-tokens, not ids.
 
-The HEAD most frequent pre-tokens (a bounded table: HEAD rows of at most HEAD_CHARS characters) are
-broadcast and looked up where a document is read. All others go as (row, pre-token, frequency) through a
+The HEAD most frequent pre-tokens of at most HEAD_CHARS characters, and HEAD / 20 longer ones of at most LONG (a bounded
+table), are broadcast and looked up where a document is read. Longer ones yet are counted there. All others go as (row, pre-token, frequency) through a
 join with the counts, so nothing that grows with the corpus is broadcast, and no count is estimated.
 
 Defined cases: null and empty texts have no tokens; repeated rows are counted each (rows carry a number
@@ -32,10 +32,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
+#: The head: so many of the most frequent pre-tokens of up to HEAD_CHARS characters, and a twentieth as many longer ones.
 HEAD = 200_000
 HEAD_CHARS = 24
-#: Distinct pre-tokens that a task gathers before it passes them on.
-GATHER = 300_000
+#: A pre-token of more characters is counted where it is read: it is rare, and no key of a shuffle.
+LONG = 1000
+#: Distinct pre-tokens, and characters of them, that a task gathers before it passes them on.
+GATHER, GATHER_CHARS = 300_000, 16 << 20
 SPACE = "▁"
 
 
@@ -73,13 +76,15 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["token", "n"])
 
     seen: Counter = Counter()
+    chars = 0
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
-                seen.update(pre_tokens(text))
-        if len(seen) > GATHER:
-            yield out(seen)
-            seen = Counter()
+                seen.update(t for t in pre_tokens(text) if len(t) <= LONG)
+                chars += len(text)  # at least the characters of what is new
+            if len(seen) > GATHER or (chars > GATHER_CHARS and (chars := sum(map(len, seen))) > GATHER_CHARS):
+                yield out(seen)
+                seen, chars = Counter(), 0
     yield out(seen)
 
 
@@ -96,11 +101,11 @@ def _encoder(path: str):
 PARTS = "rid long, doc_id long, n_bytes long, n long, token string"
 
 
-def _splitter(shared):
+def _splitter(shared, path: str):
     """(rid, doc_id, text) to one row per document with the sum over the head, and one per other pre-token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = shared.value
+        head, sp = shared.value, load(path)
         for batch in batches:
             rid, doc, size, n, token = [], [], [], [], []
             for r, d, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -108,6 +113,8 @@ def _splitter(shared):
                 for t, k in Counter(pre_tokens(text)).items():
                     if (own := head.get(t)) is not None:
                         total += k * own
+                    elif len(t) > LONG:
+                        total += k * count_pieces(sp, [t])[0]
                     else:
                         rid.append(r), doc.append(None), size.append(None), n.append(k), token.append(t)
                 rid.append(r), doc.append(d), size.append(len(text.encode())), n.append(total), token.append(None)
@@ -128,10 +135,12 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
     spark = docs.sparkSession
     lean_batches(spark)
     pieces = piece_table(docs, path, text)
-    top = pieces.where(F.length("token") <= HEAD_CHARS).orderBy(F.desc("n"), "token").limit(head).select("token", "pieces").toArrow()
+    short = F.length("token") <= HEAD_CHARS
+    best = lambda rows, n: rows.orderBy(F.desc("n"), "token").limit(n).select("token", "pieces")
+    top = best(pieces.where(short), head).union(best(pieces.where(~short), head // 20)).toArrow()
     shared = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = cut(rows.mapInArrow(_splitter(shared), PARTS))
+    parts = cut(rows.mapInArrow(_splitter(shared, path), PARTS))
     rest = parts.where("token is not null").select("rid", "token", "n")
     tail = rest.join(pieces.select("token", "pieces"), "token").groupBy("rid").agg(F.sum(F.col("n") * F.col("pieces")).alias("tail"))
     docs_ = parts.where("token is null").select("rid", "doc_id", "n_bytes", "n")

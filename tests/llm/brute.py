@@ -149,6 +149,35 @@ def size_and_crc(text):
     return len(b) + 1, zlib.crc32(b)
 
 
+def fused(rows, n, prior, value):
+    """rows (host, domain, declared, suffix, log likelihoods) to (language number, posterior, what the text alone says)."""
+    said = [max(range(n), key=lambda i: (r[4][i], -i)) for r in rows]
+    count = lambda same: [sum(1 for r, s in zip(rows, said, strict=True) if s == i and same(r)) for i in range(n)]
+    every = count(lambda r: True)
+    base = [(c + prior / n) / (len(rows) + prior) for c in every]
+    smooth = lambda own, above: [(c + prior * p) / (sum(own) + prior) for c, p in zip(own, above, strict=True)]
+    out = []
+    for r, s in zip(rows, said, strict=True):
+        domain = smooth(count(lambda x: x[1] == r[1]), base)  # noqa: B023
+        host = smooth(count(lambda x: x[:2] == r[:2]), domain)  # noqa: B023
+        logs = [a + math.log(b) for a, b in zip(r[4], host, strict=True)]
+        for k in (2, 3):
+            own = count(lambda x: x[k] == r[k])  # noqa: B023
+            kinds = len({x[k] for x in rows})
+            logs = [a + math.log((c + value) / (t + value * kinds)) for a, c, t in zip(logs, own, every, strict=True)]
+        top = max(logs)
+        out.append((logs.index(top), 1 / sum(math.exp(x - top) for x in logs), s))
+    return out
+
+
+def contained(words, template, k=5, share=0.8):
+    """Whether some run of as many words as the template holds so much of its shingles."""
+    shingles = {tuple(template[i : i + k]) for i in range(len(template) - k + 1)}
+    runs = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+    width = len(template) - k + 1
+    return any(len(shingles & set(runs[i : i + width])) >= share * len(shingles) for i in range(max(1, len(runs) - width + 1)))
+
+
 def page_events(kids, parent=None):
     """What a tree of (tag, attributes, kids) and strings does to the lines of a page."""
     for kid in kids:

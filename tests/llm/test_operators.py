@@ -406,3 +406,103 @@ def test_targets_that_exclude_each_other_end_with_a_warning(spark):
     wish = {"source": spark.createDataFrame([("a", 1.0), ("b", 3.0)], "value string, share double"), "lang": spark.createDataFrame([("en", 1.0), ("de", 1.0)], "value string, share double")}
     with pytest.warns(UserWarning):
         assert mixing.rake(df, wish, rounds=2).count() == 2
+
+
+def test_thousands_of_copies_and_passages(spark):
+    passage, other = text(21, 14), text(22, 60)
+    rows = [(i, f"{text(23, 5)} {passage}") for i in range(2000)] + [(5000, f"x {passage} y"), (5001, other), (-1, other), (5001, other)]
+    rows += [(6000 + i, f"{i} {passage[10:90]}{i}") for i in range(1500)] + [(6000, "again " + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert ordered(suffixes.remove_repeats(docs).collect()) == ordered(brute.repeats(rows))
+
+
+def test_blocks_find_every_window():
+    r = random.Random(1)
+    for _ in range(300):
+        words = [f"w{i}" for i in range(r.choice([1, 2, 5, 40]))]
+        some = lambda n: " ".join(r.choice(words) for _ in range(n))  # noqa: B023, E731
+        items = [(i if r.random() < 0.9 else None, some(r.randrange(40))) for i in range(r.randrange(1, 6))]
+        rows = [(j, f"{some(r.randrange(80))} {r.choice(items)[1]} {some(3)}") for j in range(4)]
+        auto = decontam.Automaton(items)
+        for (_, t), want in zip(rows, brute.decontaminate(rows, items), strict=True):
+            n, spans, ids = auto.scan(t.encode())
+            assert (n, sum(b - a for a, b in spans), len(set(map(str, ids)))) == want[1:4]
+
+
+def test_license_recall_against_all_windows():
+    s = licenses.Scanner(licenses.TEMPLATES)
+    r = random.Random(4)
+    found = expected = 0
+    for name, t in licenses.TEMPLATES.items():
+        for changes in (0, 1, 2, 4):
+            words = licenses.words_of(t.encode())
+            for _ in range(changes):
+                words[r.randrange(len(words))] = b"x%d" % r.randrange(99)
+            around = lambda: [w.encode() for w in text(r.randrange(999), r.randrange(90)).split()]
+            whole = around() + words + around()
+            hits = s.scan(b" ".join(whole))
+            assert all(c >= 0.8 for *_, c in hits)
+            family = {name} | s.rivals[name]
+            if brute.contained(whole, licenses.words_of(t.encode())):
+                expected += 1
+                found += any(h[0] in family for h in hits)
+            else:
+                assert name not in {h[0] for h in hits}
+    assert expected > 50 and found >= 0.9 * expected
+    with pytest.raises(ValueError):
+        licenses.Scanner({"short": "MIT License"})
+
+
+def test_fusion_against_brute_force(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(60):
+        host = r.choice(["a", "b", "c", ""])
+        # equal likelihoods are ties that the priors decide
+        ll = r.choice([[0.0, 0.0, 0.0], [-1.0, -2.0, -2.0], [-3.0, -1.0, -1.0], [r.random(), r.random(), r.random()]])
+        rows.append((host, r.choice(["d", "e"]), r.choice(["en", "de", ""]), r.choice(["org", "/en"]), ll))
+    want = brute.fused(rows, 3, langid.PRIOR_ROWS, langid.VALUE_ROWS)
+    df = spark.createDataFrame([(i, *x, w[2]) for i, (x, w) in enumerate(zip(rows, want, strict=True))], "i int, host string, domain string, declared string, suffix string, ll array<double>, said int")
+    got = sorted((x["i"], x["logs"]) for x in langid.fuse(df, 3).collect())
+    for (_, logs), (best, posterior, _) in zip(got, want, strict=True):
+        assert logs.index(max(logs)) == best or max(logs) - logs[best] < 1e-9
+        assert 1 / sum(2.718281828459045 ** (x - max(logs)) for x in logs) == pytest.approx(posterior)
+
+
+def test_repeated_rows_do_not_fill_the_language_sample(spark):
+    docs = spark.createDataFrame([(None, "abc def ghi", "en")] * 500 + [(None, None, "en"), (None, "zz yy xx", "de"), (1, None, "fr")], "doc_id long, text string, lang string")
+    model = langid.fit(docs, rows=400)
+    assert sorted(model) == ["de", "en", "fr"]
+    assert langid.identify(langid.document_rows(docs.withColumn("source", F.lit("s"))), docs).count() == 503
+
+
+def test_long_pre_tokens(spark):
+    sp = tokens.load(tokens.model_path())
+    rows = [(i, t) for i, t in enumerate(["-" * 5000 + " a", "x" * 1500 + "\n" + "=" * 80, " " * 3000 + "b", "=" * 80 + " c", "é" * 1001])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = ordered((i, len(t.encode()), len(sp.encode(t))) for i, t in rows)
+    for head in (tokens.HEAD, 0):
+        assert ordered(tokens.count_tokens(docs, tokens.model_path(), head=head).collect()) == want
+
+
+def test_hot_keys_are_joined_whole(spark):
+    from collections import Counter
+
+    from keyloom.llm.common import hot_join, possible
+
+    r = random.Random(3)
+    rows = [(i, r.choice([None, "h", "h", f"a{r.randrange(2000)}"]), r.randrange(2)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "i int, k string, j int")
+    side = df.groupBy("k", "j").agg(F.count("*").alias("n"), F.sum("i").alias("s")).withColumnsRenamed({"k": "_k", "j": "_j"})
+    total = Counter()
+    for i, k, j in rows:
+        total[k, j] += i
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert ordered(hot_join(df, side, [("k", "_k"), ("j", "_j")], "n", len(rows)).collect()) == ordered((i, k, j, total[k, j]) for i, k, j in rows)
+        some = df.where("i % 7 = 0")
+        maybe, never = (possible(df, some, ["i"], found=x).collect() for x in (True, False))
+        assert len(maybe) + len(never) == len(rows) and len(maybe) < 700 and all(x["i"] % 7 for x in never)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
