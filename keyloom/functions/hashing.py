@@ -8,6 +8,7 @@ family is right for that filter; families differ in how many false candidates pa
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
@@ -208,24 +209,11 @@ class HashFamily:
         """
         if self.bits not in SEGMENTS:
             raise ValueError(f"bits must be one of {sorted(SEGMENTS)}")
-        token = F.col(column)
-        shared = {
-            "charfeat": lambda: charfeat_positions(token, self.bits, self.ones, **dict(self.flags)),
-            "bloom": lambda: bloom_positions(token, self.bits, self.ones),
-            "bloom_murmur": lambda: murmur_bloom_positions(token, self.bits, self.ones),
-            "simhash": lambda: simhash_pieces(token, self.bits),
-            "md5": lambda: F.array(*md5_lanes(token, self.bits)),
-            "xx": lambda: F.array(*xx_lanes(token, self.bits)),
-            "murmur": lambda: murmur_lanes(token, self.bits),
-        }
-        if self.name not in shared:
+        if self.name not in FAMILIES:
             raise ValueError(f"no hash family {self.name}")
-        df = df.withColumn("_shared", shared[self.name]())
-        s = F.col("_shared")
-        if self.name in ("charfeat", "bloom", "bloom_murmur"):
-            lanes = lanes_of(s, self.bits)
-        else:
-            lanes = simhash_lanes(s, self.bits) if self.name == "simhash" else [s[k] for k in range(self.bits // 64)]
+        build, finish = FAMILIES[self.name]
+        df = df.withColumn("_shared", build(F.col(column), self))
+        lanes = finish(F.col("_shared"), self.bits)
         kept = [c for c in df.columns if c != "_shared"]
         return df.select(*kept, *[x.alias(prefix + c) for c, x in zip(self.columns, lanes, strict=True)])
 
@@ -237,6 +225,32 @@ class HashFamily:
         return replace(self, bits=bits)
 
 
+def given_lanes(lanes: Column, bits: int) -> list[Column]:
+    return [lanes[k] for k in range(bits // 64)]
+
+
+#: Name to what makes the shared column of a token (array<int> of bit positions, or array<long> of lanes) and what makes lanes of it.
+FAMILIES: dict[str, tuple[Callable[[Column, HashFamily], Column], Callable[[Column, int], list[Column]]]] = {
+    "charfeat": (lambda t, f: charfeat_positions(t, f.bits, f.ones, **dict(f.flags)), lanes_of),
+    "bloom": (lambda t, f: bloom_positions(t, f.bits, f.ones), lanes_of),
+    "bloom_murmur": (lambda t, f: murmur_bloom_positions(t, f.bits, f.ones), lanes_of),
+    "simhash": (lambda t, f: simhash_pieces(t, f.bits), simhash_lanes),
+    "md5": (lambda t, f: F.array(*md5_lanes(t, f.bits)), given_lanes),
+    "xx": (lambda t, f: F.array(*xx_lanes(t, f.bits)), given_lanes),
+    "murmur": (lambda t, f: murmur_lanes(t, f.bits), given_lanes),
+}
+
+
+def register_family(name: str, build: Callable[[Column, HashFamily], Column], positions: bool = False) -> None:
+    """A hash of one's own: build(token, family) gives bits / 64 lanes, or (positions=True) bit positions below bits.
+
+    Any function of the token alone is right for the filter. A known name is refused.
+    """
+    if name in FAMILIES:
+        raise ValueError(f"there is a hash family {name}")
+    FAMILIES[name] = (build, lanes_of if positions else given_lanes)
+
+
 def family(name: str, bits: int = 128, ones: int | None = None, **flags: bool) -> HashFamily:
     """charfeat, bloom, bloom_murmur, md5, simhash, xx or murmur; ones -1 gives Bloom its best number for six items."""
     if ones is None:

@@ -20,9 +20,9 @@ def huffman(frequency: Mapping[str, int]) -> list[tuple[str, str]]:
     heapq.heapify(heap)
     node = len(heap)
     while len(heap) > 1:
-        (w0, s0, a), (w1, s1, b) = heapq.heappop(heap), heapq.heappop(heap)
+        (w0, s0, a), (w1, _, b) = heapq.heappop(heap), heapq.heappop(heap)
         parent[a], parent[b] = (node, "0"), (node, "1")
-        heapq.heappush(heap, (w0 + w1, min(s0, s1), node))
+        heapq.heappush(heap, (w0 + w1, s0, node))  # ties go by the first symbol of the lighter part
         node += 1
 
     def code(i: int) -> str:

@@ -48,6 +48,10 @@ def candidates(index: DataFrame, query: QuerySpec, fam: HashFamily | None = None
     return index.join(q, on).select(*query.keys, "m", "table_id", "row_id", F.col("col_id").alias("c0"))
 
 
+def plain(index: DataFrame) -> DataFrame:
+    return index.select("table_id", "row_id", "col_id", "token")
+
+
 def _or(parts) -> Column:
     out = parts[0]
     for x in parts[1:]:
@@ -105,15 +109,19 @@ def discover(
     min_join: float | None = None,
     absolute: bool = False,
     prune: int | None = None,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """The k best tables. index: postings, with super keys if a family is given (None: no prefilter).
 
+    postings: the same without keys, for verification; to be given where the index is not a stored table, so that the
+    keys are not made twice.
+
     prune: score that many tables of the largest bounds first, and drop the tables whose bound (candidate
     pairs before any filter) is below the k-th score; the result is the same.
     """
     if run_ics:
         query = initial_column(query)
-    postings = index.select("table_id", "row_id", "col_id", "token")
+    postings = plain(index) if postings is None else postings
     if min_join is not None:
         n = None if absolute else query.size()
         keep = min_join_filter(table_hits(postings, query), min_join, absolute, n or 0)

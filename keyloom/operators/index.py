@@ -30,14 +30,28 @@ def write_index(index: DataFrame, fam: HashFamily, path: str, partitions: int |
     spark = index.sparkSession
     spread = index.repartitionByRange(partitions, "token") if partitions else index.repartitionByRange("token")
     spread.sortWithinPartitions("token", "table_id", "row_id").write.mode("overwrite").parquet(f"{path}/postings")
+    write_family(spark, fam, f"{path}/family")
+
+
+def write_family(spark: SparkSession, fam: HashFamily, path: str) -> None:
     meta = json.dumps({"name": fam.name, "bits": fam.bits, "ones": fam.ones, "flags": dict(fam.flags)})
-    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/family")
+    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_family(spark: SparkSession, path: str) -> HashFamily:
+    meta = json.loads(spark.read.text(path).first()["value"])
+    return family(meta["name"], meta["bits"], meta["ones"], **meta["flags"])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def read_index(spark: SparkSession, path: str, expect: HashFamily | None = None) -> tuple[DataFrame, HashFamily]:
     """The index and its family; another family than expected is refused, as its keys would lose matches."""
-    meta = json.loads(spark.read.text(f"{path}/family").first()["value"])
-    fam = family(meta["name"], meta["bits"], meta["ones"], **meta["flags"])
+    grown = not exists(spark, f"{path}/family")  # by a stream: batches in folders, the family beside them
+    fam = read_family(spark, f"{path}.family" if grown else f"{path}/family")
     if expect is not None and expect != fam:
         raise ValueError(f"the index was built with {fam}, not {expect}")
-    return spark.read.parquet(f"{path}/postings"), fam
+    return spark.read.parquet(path).drop("batch") if grown else spark.read.parquet(f"{path}/postings"), fam

@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions.hashing import HashFamily
-from keyloom.operators.discover import candidates, discover_mcr, verify
+from keyloom.operators.discover import candidates, discover_mcr, plain, verify
 from keyloom.operators.query import QuerySpec
 
 
-def filter_precision(index: DataFrame, query: QuerySpec, fam: HashFamily | None) -> DataFrame:
-    """One row: candidates approved, of those matched, false positives, precision."""
+def filter_precision(index: DataFrame, query: QuerySpec, fam: HashFamily | None, postings: DataFrame | None = None) -> DataFrame:
+    """One row: candidates approved, of those matched, false positives, precision (null without candidates)."""
     cand = candidates(index, query, fam)
-    pairs = verify(cand, index.select("table_id", "row_id", "col_id", "token"), query)
+    pairs = verify(cand, plain(index) if postings is None else postings, query)
     n = F.coalesce(F.sum("m"), F.lit(0))
     both = cand.agg(n.alias("approved")).withColumn("matched", pairs.agg(n.alias("matched")).scalar())
-    return both.select("approved", "matched", (F.col("approved") - F.col("matched")).alias("false_positives"), (F.col("matched") / F.col("approved")).alias("precision"))
+    return both.select("approved", "matched", (F.col("approved") - F.col("matched")).alias("false_positives"), F.try_divide("matched", "approved").alias("precision"))
 
 
 def approved_rows(index: DataFrame, query: QuerySpec, fam: HashFamily | None) -> DataFrame:

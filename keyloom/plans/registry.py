@@ -6,6 +6,10 @@ return flag and line status. The queries are whole tables too: all keys of `line
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,11 +76,29 @@ SELECT row_number() OVER (ORDER BY n_pairs DESC, table_id) AS rank, table_id, ma
 
 
 def q_discover(spark: SparkSession, sf_dir: str, n: int, fam: str | None = None, **options) -> DataFrame:
-    """Only the lanes of the index are needed beside the postings; the whole is one plan."""
+    """The whole, from raw rows to the result, is one plan; q_stored keeps the index."""
     postings = lake(spark, sf_dir)
     chosen = family(fam) if fam else None
     at = index.build_index(postings, chosen) if chosen else postings
-    return discover.discover(at, keys_query(spark, sf_dir, n), K, chosen, **options)
+    return discover.discover(at, keys_query(spark, sf_dir, n), K, chosen, postings=postings, **options)
+
+
+def stored_index(spark: SparkSession, sf_dir: str, fam: str) -> str:
+    """An index of the lake, written to a folder that all executors share (a temporary one in a local session)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="keyloom-index-")
+        atexit.register(shutil.rmtree, base, True)
+    path = f"{base.rstrip('/')}/index-{fam}-{uuid.uuid4().hex}"
+    index.write_index(index.build_index(lake(spark, sf_dir), family(fam)), family(fam), path)
+    return path
+
+
+def q_stored(spark: SparkSession, sf_dir: str, fam: str, **options) -> DataFrame:
+    at, chosen = index.read_index(spark, stored_index(spark, sf_dir, fam), family(fam))
+    return discover.discover(at, keys_query(spark, sf_dir, 2), K, chosen, **options)
 
 
 QUERIES: dict = {}
@@ -93,6 +115,10 @@ for _n in (1, 2, 3):
     register(f"discover_scr_{_n}key", partial(q_discover, n=_n), discover_sql(_n))
 for _fam in ("charfeat", "md5", "bloom", "simhash", "xx", "murmur", "bloom_murmur"):
     register(f"discover_{_fam}", partial(q_discover, n=2, fam=_fam), discover_sql(2))
+register("discover_stored", partial(q_stored, fam="charfeat"), discover_sql(2))
+register("discover_ics", partial(q_stored, fam="charfeat", run_ics=True, mode="injective"), discover_sql(2, "injective"))
+LEAST = "WHERE p.table_id IN (SELECT table_id FROM p WHERE token IN (SELECT k0 FROM q) GROUP BY table_id HAVING count(*) >= {})"
+register("discover_min_join", partial(q_discover, n=2, fam="charfeat", min_join=3000, absolute=True), discover_sql(2, least=LEAST.format(3000)))
 register("discover_charfeat_3key", partial(q_discover, n=3, fam="charfeat"), discover_sql(3))
 register("discover_injective", partial(q_discover, n=3, fam="charfeat", mode="injective"), discover_sql(3, "injective"))
 register("discover_pruned", partial(q_discover, n=2, fam="charfeat", prune=12), discover_sql(2))
@@ -112,8 +138,9 @@ register("table_hit_counts", lambda s, d: discover.table_hits(lake(s, d), keys_q
 register("min_join_abs", lambda s, d: discover.min_join_filter(discover.table_hits(lake(s, d), keys_query(s, d, 2)), 3000, True, 0), COUNT_SQL + " SELECT * FROM h WHERE n_hits >= 3000")
 register("min_join_rel", lambda s, d: discover.min_join_filter(discover.table_hits(lake(s, d), keys_query(s, d, 2)), 0.1, False, keys_query(s, d, 2).size()),
          COUNT_SQL + f" SELECT * FROM h WHERE n_hits >= round_even(0.1 * (SELECT count(*) FROM ({_query_sql(2)})), 0)")
-register("row_fetch", lambda s, d: discover.fetch_rows(lake(s, d), discover.candidates(lake(s, d), keys_query(s, d, 1))),
-         f"WITH p AS MATERIALIZED ({LAKE_SQL}), c AS (SELECT DISTINCT table_id, row_id FROM p WHERE token IN (SELECT k0 FROM ({_query_sql(1)}))) SELECT table_id, row_id, col_id, token FROM p SEMI JOIN c USING (table_id, row_id)")
+FETCHED = {"n_cells": "count(*)", "n_rows": "count(DISTINCT row_id)", "row_sum": "sum(row_id)", "col_sum": "sum(col_id)", "n_chars": "sum(length(token))"}
+register("row_fetch", lambda s, d: discover.fetch_rows(lake(s, d), discover.candidates(lake(s, d), keys_query(s, d, 1))).groupBy("table_id").agg(*[F.expr(f"cast({x} as long)").alias(n) for n, x in FETCHED.items()]),
+         f"WITH p AS MATERIALIZED ({LAKE_SQL}), c AS (SELECT DISTINCT table_id, row_id FROM p WHERE token IN (SELECT k0 FROM ({_query_sql(1)}))) SELECT table_id, " + ", ".join(f"CAST({x} AS BIGINT) AS {n}" for n, x in FETCHED.items()) + " FROM p SEMI JOIN c USING (table_id, row_id) GROUP BY table_id")
 register("ics_order", lambda s, d: query.key_counts(keys_query(s, d, 3)), f"WITH q AS ({_query_sql(3)}) " + " UNION ALL ".join(f"SELECT {i} AS position, count(DISTINCT k{i}) AS n_distinct FROM q" for i in range(3)))
 
 
@@ -173,20 +200,21 @@ def q_superkey(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("superkey_128", q_superkey, f"WITH p AS MATERIALIZED ({LAKE_SQL}), {charfeat_sql('SELECT DISTINCT token FROM p', 128)} SELECT table_id, row_id, {JOINED_BITS} AS bits FROM (SELECT DISTINCT table_id, row_id, bit FROM p JOIN b USING (token)) GROUP BY table_id, row_id")
 
 
-def q_mcr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discover.discover_mcr(lake(spark, sf_dir), keys_query(spark, sf_dir, 2), K)
+def q_mcr(spark: SparkSession, sf_dir: str, most: int = 500) -> DataFrame:
+    return discover.discover_mcr(lake(spark, sf_dir), keys_query(spark, sf_dir, 2), K, most)
 
 
 MCR_SQL = f"""WITH p AS MATERIALIZED ({LAKE_SQL}), q AS MATERIALIZED ({_query_sql(2)}), t AS (SELECT table_id FROM p WHERE token IN (SELECT k0 FROM q) GROUP BY table_id ORDER BY count(*) DESC, table_id LIMIT 500),
 m AS (SELECT p.table_id, p.col_id AS c0, o.col_id AS c1, count(*) AS n_pairs FROM p JOIN p AS o ON p.table_id = o.table_id AND p.row_id = o.row_id AND p.col_id <> o.col_id JOIN q ON p.token = k0 AND o.token = k1 WHERE p.table_id IN (SELECT table_id FROM t) GROUP BY ALL),
 top AS (SELECT * FROM m ORDER BY n_pairs DESC, table_id, c0, c1 LIMIT {K})"""
 register("discover_mcr", q_mcr, MCR_SQL + " SELECT * FROM top")
+register("discover_mcr_cut", partial(q_mcr, most=4), MCR_SQL.replace("LIMIT 500", "LIMIT 4") + " SELECT * FROM top")
 register("mcr_avg_joinability", lambda s, d: metrics.mean_joinability(lake(s, d), keys_query(s, d, 2), K), MCR_SQL + " SELECT coalesce(avg(n_pairs), 0.0) AS mean_pairs FROM top")
 
 
 def q_precision(spark: SparkSession, sf_dir: str, fam: str) -> DataFrame:
     chosen = family(fam)
-    return metrics.filter_precision(index.build_index(lake(spark, sf_dir), chosen), keys_query(spark, sf_dir, 2), chosen)
+    return metrics.filter_precision(index.build_index(lake(spark, sf_dir), chosen), keys_query(spark, sf_dir, 2), chosen, lake(spark, sf_dir))
 
 
 def precision_sql(fam: str) -> str:
@@ -217,6 +245,13 @@ CAST(CASE WHEN hi > 9223372036854775807 THEN CAST(hi AS HUGEINT) - 1844674407370
 register("simhash_shingles", lambda s, d: part_tokens(s, d).select("token", F.array_join(shingles(F.col("token")), "|").alias("pieces")),
          rf"""WITH t AS ({PART_SQL}), c AS (SELECT token, regexp_replace(lower(token), '[^\w]+', '', 'g') AS x FROM t)
 SELECT token, array_to_string(list_transform(range(0, greatest(length(x) - 3, 0) + 1), lambda i: substr(x, CAST(i + 1 AS INTEGER), 3)), '|') AS pieces FROM c""")
+register("simhash_lanes", lambda s, d: family("simhash").attach(part_tokens(s, d), "token").select("token", F.col("sk0").cast("string").alias("sk0"), F.col("sk1").cast("string").alias("sk1")),
+         rf"""WITH t AS ({PART_SQL}), c AS (SELECT token, regexp_replace(lower(token), '[^\w]+', '', 'g') AS x FROM t),
+f AS (SELECT token, substr(x, CAST(unnest(range(0, greatest(length(x) - 3, 0) + 1)) + 1 AS INTEGER), 3) AS piece FROM c),
+h AS (SELECT token, lane, CAST('0x' || substr(md5(piece), 17 - 16 * lane, 16) AS UBIGINT) AS v FROM f, (VALUES (0), (1)) AS l(lane)),
+b AS (SELECT token, lane, j FROM h, range(64) AS r(j) GROUP BY token, lane, j HAVING sum(CASE WHEN (v >> CAST(j AS UBIGINT)) & 1 = 1 THEN 1 ELSE -1 END) > 0),
+s AS (SELECT token, lane, sum(CASE WHEN j = 63 THEN -9223372036854775808 ELSE CAST(1 AS HUGEINT) << CAST(j AS HUGEINT) END) AS v FROM b GROUP BY token, lane)
+SELECT token, CAST(coalesce(a.v, 0) AS VARCHAR) AS sk0, CAST(coalesce(z.v, 0) AS VARCHAR) AS sk1 FROM t LEFT JOIN (SELECT token, v FROM s WHERE lane = 0) AS a USING (token) LEFT JOIN (SELECT token, v FROM s WHERE lane = 1) AS z USING (token)""")
 register("lower_cast_all", lambda s, d: lower_all(read(s, d, "nation")), "SELECT lower(CAST(n_nationkey AS VARCHAR)) AS n_nationkey, lower(n_name) AS n_name, lower(CAST(n_regionkey AS VARCHAR)) AS n_regionkey FROM nation")
 register("split_list", lambda s, d: read(s, d, "documents").select("doc_id", F.posexplode(split_list(F.col("text"), ", ")).alias("pos", "part")),
          "SELECT doc_id, CAST(unnest(range(0, len(x))) AS INTEGER) AS pos, unnest(x) AS part FROM (SELECT doc_id, string_split(text, ', ') AS x FROM documents)")

@@ -19,21 +19,26 @@ def read_csv(spark: SparkSession, path: str, lower: bool = True) -> DataFrame:
     return lower_all(df) if lower else df
 
 
-def read_csv_dir(spark: SparkSession, folder: str) -> DataFrame:
+def read_csv_dir(spark: SparkSession, folder: str, clean: bool = False) -> DataFrame:
     """Postings of all CSV files of a folder with numeric names, whose headers are column numbers.
 
-    Rows are read as lines in one scan of the folder: files differ in their columns.
+    Files differ in their columns, so all are read with as many as the widest header has; a file is read as a
+    stream by one task (quoted cells may hold line feeds), and rows are numbered from 1 in its order. clean: tokens are
+    cleaned as those of a query are by default; else they are in lower case. Cells without a header, rows
+    shorter than it and empty cells give no postings.
     """
-    lines = spark.read.text(folder, wholetext=True, pathGlobFilter="*.csv").select(
-        F.regexp_extract(F.input_file_name(), r"(\d+)\.csv$", 1).cast("long").alias("table_id"), F.col("value")
-    )
-    rows = lines.select("table_id", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n"))).toDF("table_id", "line", "value")
-    pieces = F.transform(F.regexp_extract_all("value", F.lit(r'(?:^|,)((?:"(?:[^"]|"")*")|[^,]*)'), 1), lambda x: F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), '""', '"'))
-    rows = rows.select("table_id", "line", pieces.alias("cell"))
-    head = rows.where("line = 0").select("table_id", F.col("cell").alias("head"))
-    body = rows.where("line > 0").join(head, "table_id")
-    cells = body.select("table_id", F.col("line").cast("long").alias("row_id"), F.explode(F.arrays_zip("head", "cell")).alias("z"))
-    out = cells.select("table_id", "row_id", F.col("z.head").cast("int").alias("col_id"), F.lower("z.cell").alias("token"))
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.csv$", 1).cast("long")
+    lines = spark.read.text(folder, pathGlobFilter="*.csv").select(name.alias("t"), F.monotonically_increasing_id().alias("i"), "value")
+    heads = lines.groupBy("t").agg(F.min_by("value", "i").alias("value"))
+    width = heads.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    rows = spark.read.csv(folder, schema=schema, pathGlobFilter="*.csv", multiLine=True, escape='"', quote='"', header=False)
+    rows = rows.select(name.alias("table_id"), F.monotonically_increasing_id().alias("i"), F.array(*[f"c{i}" for i in range(width)]).alias("cells")).where("table_id is not null")
+    head = rows.groupBy("table_id").agg(F.min_by("cells", "i").alias("head"), F.min("i").alias("first")).withColumnRenamed("table_id", "t")
+    body = rows.join(head, F.col("table_id") == F.col("t")).where("i > first")
+    cells = body.select("table_id", (F.col("i") - F.col("first")).alias("row_id"), F.explode(F.arrays_zip("head", "cells")).alias("z"))
+    token = clean_text(F.col("z.cells")) if clean else F.lower("z.cells")
+    out = cells.select("table_id", "row_id", F.expr("try_cast(trim(z.head) as int)").alias("col_id"), token.alias("token"))
     return out.where("token <> '' and col_id is not null").distinct()
 
 

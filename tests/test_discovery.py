@@ -135,3 +135,68 @@ def test_augment(spark):
     q = spark.createDataFrame([("a", 1)], "k string, v int")
     lake = spark.createDataFrame([("a", "m")], "k string, w string")
     assert rows(discover.augment(q, lake, {"k": "k"})) == [("a", 1, "a", "m")]
+
+
+def test_csv_folder_with_empty_cells_and_line_feeds(spark, tmp_path):
+    (tmp_path / "1.csv").write_text('0,1,2\n,b,c\n,,\n"x\ny",,"a, ""q"""\n')
+    (tmp_path / "2.csv").write_text("5\nNew-York\n\nlong,extra\n")
+    (tmp_path / "3.csv").write_text("1,2\n")
+    got = {tuple(r) for r in corpus.read_csv_dir(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, 1, "b"), (1, 1, 2, "c"), (1, 3, 0, "x\ny"), (1, 3, 2, 'a, "q"'), (2, 1, 5, "new-york"), (2, 2, 5, "long")}
+    clean = {tuple(r) for r in corpus.read_csv_dir(spark, str(tmp_path), clean=True).collect()}
+    assert (2, 1, 5, "new york") in clean and (1, 3, 2, "q") in clean
+
+
+def test_huffman_ties_go_by_the_lighter_parts_symbol():
+    assert dict(coding.huffman({"a": 2, "z": 1, "m": 3})) == {"m": "0", "z": "10", "a": "11"}
+
+
+def test_precision_without_candidates(small, spark):
+    none = query.QuerySpec.from_df(spark.createDataFrame([("no", "where")], "p string, q string"), ["p", "q"])
+    assert rows(metrics.filter_precision(small[0], none, None)) == [(0, 0, 0, None)]
+
+
+def test_a_hash_of_ones_own(spark, small):
+    from keyloom.functions import hashing
+
+    hashing.register_family("length", lambda t, f: F.array((F.length(t) % f.bits).cast("int")), positions=True)
+    try:
+        lake, q = small
+        fam = family("length")
+        assert rows(discover.discover(index.build_index(lake, fam), q, 5, fam)) == rows(discover.discover(lake, q, 5))
+        with pytest.raises(ValueError):
+            hashing.register_family("md5", lambda t, f: t)
+    finally:
+        del hashing.FAMILIES["length"]
+
+
+def test_filters_prune(spark):
+    """Every family rejects most of the rows that hold the first key only."""
+    lake = spark.createDataFrame([(1, i, c, t) for i in range(200) for c, t in enumerate(("key", f"value {i}", f"other {i * i}"))], "table_id long, row_id long, col_id int, token string")
+    q = query.QuerySpec.from_df(spark.createDataFrame([("key", "value 7")], "p string, q string"), ["p", "q"], clean=False)
+    for name in [*NAMES, "bloom_murmur"]:
+        fam = family(name)
+        found = metrics.filter_precision(index.build_index(lake, fam), q, fam).first()
+        assert found["matched"] == 1 and found["approved"] < (150 if name == "simhash" else 60), name
+
+
+def test_a_stream_and_a_stored_index_are_read_alike(spark, small, tmp_path):
+    lake, q = small
+    lake.write.parquet(str(tmp_path / "in"))
+    fam = family("md5")
+    out = str(tmp_path / "grown")
+    append_to_index(spark.readStream.schema(lake.schema).parquet(str(tmp_path / "in")), fam, out, str(tmp_path / "cp")).awaitTermination(60)
+    at, read = index.read_index(spark, out, fam)
+    assert read == fam and rows(discover.discover(at, q, 5, read)) == rows(discover.discover(lake, q, 5))
+    with pytest.raises(ValueError):
+        append_to_index(spark.readStream.schema(lake.schema).parquet(str(tmp_path / "in")), family("charfeat"), out, str(tmp_path / "cp2"))
+
+
+def test_entry_without_the_corpus_operators():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['keyloom.llm'] = sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = __import__("pathlib").Path(__file__).resolve().parent.parent
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert int(done.stdout.split()[0]) > 40
