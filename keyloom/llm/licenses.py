@@ -224,7 +224,10 @@ class Scanner:
 def scanner(shared):
     @F.pandas_udf("array<struct<license:string,first:long,last:long,containment:double>>")
     def scan(raw: pd.Series) -> pd.Series:
-        s = Scanner(shared.value)
+        held = shared.value
+        if "scanner" not in held:  # built once in a worker, and kept with the templates
+            held["scanner"] = Scanner(held["templates"])
+        s = held["scanner"]
         return pd.Series([[{"license": n, "first": a, "last": b, "containment": c} for n, a, b, c in s.scan(x)] for x in raw], dtype=object)
 
     return scan
@@ -235,7 +238,7 @@ def find_licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, t
     spark = docs.sparkSession
     lean_batches(spark)
     Scanner(templates or TEMPLATES)  # refuses what it cannot find, here and not in a task
-    shared = spark.sparkContext.broadcast(dict(templates or TEMPLATES))
+    shared = spark.sparkContext.broadcast({"templates": dict(templates or TEMPLATES)})
     return pack(docs).withColumn("found", scanner(shared)(F.col("row")[text].cast("binary")))
 
 
