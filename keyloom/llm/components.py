@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Each step is one grouped minimum with a join; links are never gathered in a task or on the
-driver. Each round is cut into the shared folder, and the loop ends when a round changes nothing.
+Each step is one grouped minimum with a join, in which the rows of a node with many links are
+spread; links are never gathered in a task or on the driver. Each round is cut into the shared folder, and the loop ends when a round changes nothing.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, hot_join, release
 
 MAX_ROUNDS = 60
 
@@ -27,12 +27,12 @@ def components(links: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct()) if mark["n"] else now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = mark
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select("v", "u"))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("c"), F.least("x", "m").alias("m"))
-        large = both.join(least, both["x"] == least["c"]).where("y > x and y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(low.withColumnRenamed("u", "c"), F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = cut(star.union(low.select("u", "m")).distinct())
+        least = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select(F.col("x").alias("c"), F.least("x", "m").alias("m"), "n")
+        large = hot_join(both.where("y > x"), least, [("x", "c")], "n", 2 * mark["n"])
+        large = cut(large.where("y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumnRenamed("u", "c")
+        star = hot_join(large, low, [("u", "c")], "n", large.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        nxt = cut(star.union(low.select("c", "m")).distinct())
         release(now)
         release(large)
         now = nxt

@@ -35,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lean_batches, pack, possible
+from .common import cut, hot_join, lean_batches, pack, possible
 from .components import components
 from .simhash import SHARD_CAP, majority, search_shards
 
@@ -194,19 +194,20 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     key = [F.col("row")[doc_id].isNull().alias("none"), F.coalesce(F.col("row")[doc_id], F.lit(0)).alias("id"), F.xxhash64(body).alias("hash")]
     ident = F.struct(*key, F.octet_length(body).cast("long").alias("bytes"))
     sigs = cut(rows.select(ident.alias("ident"), sketches(k)(body).alias("s")).select("ident", "s.*"))
-    named = cut(sigs.groupBy("sid").agg(F.min("ident").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    named = cut(sigs.groupBy("sid").agg(F.min("ident").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("n")))
     near = candidates(named)
-    rooted = named.join(near.withColumnRenamed("node", "f"), F.col("fp") == F.col("f"), "left").select("sid", "fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = named.join(near.withColumnRenamed("node", "f"), F.col("fp") == F.col("f"), "left").select("sid", "fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted)
-    size = rooted.groupBy("root").agg(F.count("*").alias("n"), F.sum("least.bytes").alias("m")).where("n > 1")
-    chunks = F.greatest(F.ceil(F.col("n") / F.lit(chunk_rows)), F.ceil(F.col("m") / F.lit(chunk_bytes)), F.lit(1)).cast("long")
-    members = cut(rooted.join(size.select("root", chunks.alias("chunks")), "root").select("least.none", "least.id", "least.hash", "sid", "fp", "root", "chunks"))
+    size = rooted.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("texts"), F.sum("least.bytes").alias("m")).where("texts > 1")
+    chunks = F.greatest(F.ceil(F.col("texts") / F.lit(chunk_rows)), F.ceil(F.col("m") / F.lit(chunk_bytes)), F.lit(1)).cast("long")
+    spread = hot_join(rooted, size.select("r", "texts", chunks.alias("chunks")), [("root", "r")], "texts", rooted.count())
+    members = cut(spread.select("least.none", "least.id", "least.hash", "sid", "fp", "root", "chunks"))
     names = ["none", "id", "hash"]
     own = possible(rows.select(*key, body.alias("t")), members, names).groupBy(*names).agg(F.first("t").alias("t"))  # repeated rows collapse before they move
     texts = own.join(members, names)
     dealt = texts.select("root", F.explode(chunk_pairs(F.xxhash64("sid"))).alias("g"), "sid", "fp", "t").select("root", "g.i", "g.j", "sid", "fp", "t")
     found = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_compare(k), "a long, b long")
-    return winners(rows, key, sigs.select("ident", "sid"), rooted.select("sid", "least"), components(found))
+    return winners(rows, key, sigs.select("ident", "sid"), rooted.select("sid", "least", "n"), components(found))
 
 
 def winners(rows: DataFrame, key: list[Column], sigs: DataFrame, named: DataFrame, groups: DataFrame) -> DataFrame:
@@ -215,15 +216,19 @@ def winners(rows: DataFrame, key: list[Column], sigs: DataFrame, named: DataFram
     The idents that go, or that are repeated, are fewer than those that stay: they are written, and of the rows only
     those that may be among them move.
     """
-    placed = named.join(groups.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "least")
-    won = placed.groupBy("root").agg(F.min("least").alias("won"))
-    gone = sigs.join(placed.join(won, "root").select("sid", "won"), "sid").where("ident <> won").select("ident")
-    again = sigs.groupBy("ident").agg(F.count("*").alias("n")).where("n > 1").select("ident")
+    placed = cut(named.join(groups.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "least", "n"))
+    held = placed.agg(F.count("*").alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    won = placed.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("won"), F.count("*").alias("texts"))
+    best = hot_join(placed, won, [("root", "r")], "texts", held["texts"]).select(F.col("sid").alias("s"), "won", "n")
+    gone = hot_join(sigs, best, [("sid", "s")], "n", held["rows"]).where("ident <> won").select("ident")
+    again = sigs.groupBy("ident").agg(F.count("*").alias("n")).where("n > 1")
     names = ["none", "id", "hash"]
-    both = gone.select("ident", F.lit(1).alias("goes")).union(again.select("ident", F.lit(0)))
-    noted = cut(both.groupBy("ident").agg(F.max("goes").alias("goes")).select("ident.none", "ident.id", "ident.hash", "goes"))
+    both = gone.select("ident", F.lit(1).alias("goes"), F.lit(1).cast("long").alias("n")).union(again.select("ident", F.lit(0), "n"))
+    noted = both.groupBy("ident").agg(F.max("goes").alias("goes"), F.sum("n").alias("n"))
+    noted = cut(noted.select("ident.none", "ident.id", "ident.hash", "goes", "n"))
     here = rows.select("row", *key)
-    near = possible(here, noted, names).join(noted, names, "left")
+    side = noted.select(*[F.col(c).alias(f"_{c}") for c in names], "goes", "n")
+    near = hot_join(possible(here, noted, names), side, [(c, f"_{c}") for c in names], "n", held["rows"], unmatched=True)
     alone = near.where("goes is null").select("row")
     first = near.where("goes = 0").groupBy(*names).agg(F.first("row").alias("row")).select("row")
     return possible(here, noted, names, found=False).select("row").union(alone).union(first).select("row.*")

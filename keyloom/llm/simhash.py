@@ -218,8 +218,8 @@ def op1_bk_tree_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = cut(sigs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     linked = group_fingerprints(named.select("fp"))
     met = linked.join(named, linked["node"] == named["fp"]).select("fp", "root", "least")
-    named_roots = met.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = met.join(named_roots, "root").select(F.col("fp").alias("f"), "component_id")
+    named_roots = met.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")).withColumnRenamed("root", "_root")
+    label = hot_join(met, named_roots, [("root", "_root")], "members", linked.count()).select(F.col("fp").alias("f"), "component_id")
     label = cut(named.join(label, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("_fp"), "n", F.coalesce("component_id", "least").alias("component_id")))
     total = label.agg(F.sum("n").alias("n")).first()["n"] or 0
     return hot_join(sigs, label, [("fp", "_fp")], "n", total).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -104,6 +104,29 @@ def test_components(spark):
     assert {got[x] for x in range(100, 161)} == {100} and {got[x] for x in range(200, 250)} == {-1}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_hot_nodes(spark, seed):
+    r = random.Random(seed)
+    links = [(r.choice([-5, 9000]), i) for i in range(1, 1500)] + [(i, 9001) for i in range(3000, 4000)]
+    links += [(r.randrange(5000, 8000), r.randrange(5000, 8000)) for _ in range(1200)]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    least = {x: x for link in links if link[0] != link[1] for x in link}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            low = min(least.get(a, a), least.get(b, b))
+            for x in (a, b) if a != b else ():
+                moved |= least[x] > low
+                least[x] = low
+    assert sorted((x["node"], x["root"]) for x in got) == sorted(least.items())
+
+
 def test_shards(spark, folders):
     for rows, d, _ in cases(spark, folders):
         got = sharding.op2_hash_tree(spark, d).collect()
@@ -501,6 +524,10 @@ def test_hot_keys_are_joined_whole(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert ordered(hot_join(df, side, [("k", "_k"), ("j", "_j")], "n", len(rows)).collect()) == ordered((i, k, j, total[k, j]) for i, k, j in rows)
+        part = side.where("_k = 'h'")
+        assert hot_join(df, part, [("k", "_k"), ("j", "_j")], "n", len(rows)).count() == sum(k == "h" for _, k, _ in rows)
+        every = hot_join(df, part, [("k", "_k"), ("j", "_j")], "n", len(rows), unmatched=True).collect()
+        assert ordered(every) == ordered((i, k, j, total[k, j] if k == "h" else None) for i, k, j in rows)
         some = df.where("i % 7 = 0")
         maybe, never = (possible(df, some, ["i"], found=x).collect() for x in (True, False))
         assert len(maybe) + len(never) == len(rows) and len(maybe) < 700 and all(x["i"] % 7 for x in never)
