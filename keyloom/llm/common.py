@@ -96,20 +96,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hot_join(rows: DataFrame, side: DataFrame, on: list[tuple[str, str]], size: str, total: int, unmatched: bool = False) -> DataFrame:
+def hot_join(rows: DataFrame, side: DataFrame, on: list[tuple[str, str]], size: str, total: int, unmatched: bool = False, number: str | None = None) -> DataFrame:
     """The rows with a match (unmatched: all rows), each with the other columns of the one row of `side` that has its key (null-safe).
 
     `size` says how many of the `total` rows have the key. A key with more than 1/HOT of all rows would fill one task
     of a shuffled join: there are fewer than HOT of these, whatever the input, so they are broadcast, and in the join
     with the rest their rows are spread by a salt. rows names no column like those of side, and has its rows in the same
-    order when a lost task runs again (a scan, or a join by unique keys): the salt is a running number.
+    order when a lost task runs again (a scan, or a join by unique keys), since the salt is a running number; else `number`
+    names a column with numbers that were given to the rows where that held.
     """
     met = lambda names: reduce(lambda a, b: a & b, [rows[a].eqNullSafe(F.col(b)) for (a, _), b in zip(on, names, strict=True)])
     kept = [c for c in side.columns if c != size and c not in {b for _, b in on}]
     hot = F.col(size) * HOT > F.lit(total)
     few = side.where(hot).select(*[F.col(b).alias(f"_hot{i}") for i, (_, b) in enumerate(on)], F.struct(*kept).alias("_few"))
     rest = side.where(~hot).select(*[F.col(b).alias(f"_key{i}") for i, (_, b) in enumerate(on)], F.struct(*kept).alias("_rest"), F.lit(0).cast("long").alias("_none"))
-    salt = F.when(F.col("_few").isNull(), 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    salt = F.when(F.col("_few").isNull(), 0).otherwise(1 + F.pmod(F.col(number) if number else F.monotonically_increasing_id(), F.lit(SALTS)))
     out = rows.join(F.broadcast(few), met([f"_hot{i}" for i in range(len(on))]), "left").withColumn("_salt", salt.cast("long"))
     out = out.join(rest, met([f"_key{i}" for i in range(len(on))]) & (F.col("_salt") == F.col("_none")), "left")
     out = out.withColumn("_side", F.coalesce("_few", "_rest"))

@@ -143,11 +143,12 @@ def fuse(rows: DataFrame, n: int) -> DataFrame:
         values = float(own.count())
         return own.select(F.col(by).alias(f"_{by}"), "rows", F.zip_with("counts", totals, lambda c, t: (c + VALUE_ROWS) / (t + VALUE_ROWS * values)).alias(f"{by}_p"))
 
-    out = hot_join(rows, cut(hosts), [("domain", "_hd"), ("host", "_h")], "rows", many)
+    out = rows.withColumn("_number", F.monotonically_increasing_id())  # here rows come from a scan; after a join their order can differ in a second try
+    out = hot_join(out, cut(hosts), [("domain", "_hd"), ("host", "_h")], "rows", many, number="_number")
     for by in ("declared", "suffix"):
-        out = hot_join(out, given(by), [(by, f"_{by}")], "rows", many)
+        out = hot_join(out, given(by), [(by, f"_{by}")], "rows", many, number="_number")
     logs = F.transform("ll", lambda x, i: x + F.log(F.get("host_p", i)) + F.log(F.get("declared_p", i)) + F.log(F.get("suffix_p", i)))
-    return out.withColumn("logs", logs)
+    return out.drop("_number").withColumn("logs", logs)
 
 
 def identify(rows: DataFrame, labelled: DataFrame) -> DataFrame:
