@@ -10,8 +10,9 @@ A byte is removed if a 50-byte string over it also starts in a document with a s
 3. Runs of strings with one repeated key are cut out as contexts (at most 72 bytes). Equal contexts are one row
    with the least id (a grouped minimum, so hot passages collapse before they move).
 4. Contexts with one key meet in a task. Their shards' transforms are merged by interleave refinement, 50 rounds
-   deep, and each interval of strings with 50 common symbols takes its least id. A key with over GROUP_CAP
-   contexts is split: its strings are grouped each by itself, as a plain grouped minimum, over all tasks.
+   deep, and each interval of strings with 50 common symbols takes its least id. The contexts of a key with over GROUP_CAP
+   are dealt to chunks by their hash and merged there; each chunk passes on its distinct strings, which are dealt by their
+   own hash and merged once more. A string is there once from each chunk at most, however many contexts hold it.
 5. The least ids go back to the contexts' places; runs are united per document and cut out.
 
 No suffix array of the whole corpus is ever in one place: equal strings have equal keys, so the merge of
@@ -45,7 +46,7 @@ LENGTH, PIECE = 50, 28
 WIDTH = LENGTH - PIECE + 1
 #: Strings of one context at most: a mask of them fits a long.
 RUN = WIDTH
-#: Contexts of one key that are merged in one task.
+#: Contexts of one key that are merged in one task; more are merged in two levels.
 GROUP_CAP = 20_000
 #: Symbols that are merged at once, about.
 MERGE = 1 << 20
@@ -280,6 +281,57 @@ def interval_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield flush(strings, least, counts, single)
 
 
+def string_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, context, least, many), sorted by part, to (context, least, many): each different string of the merged contexts with
+    its least id and its occurrences. A context stands for `many` equal ones."""
+
+    def flush(strings: list[bytes], least: list[int], many: list[int]) -> pa.RecordBatch:
+        low: dict[bytes, int] = {}
+        n: Counter = Counter()
+        for c, k, minima in zip(strings, many, repeated_minima(strings, np.array(least, np.int64), LENGTH) if strings else [], strict=True):
+            for i, v in enumerate(minima.tolist()):
+                low[c[i : i + LENGTH]] = v
+                n[c[i : i + LENGTH]] += k
+        columns = [pa.array(low, pa.binary()), pa.array(low.values(), pa.int64()), pa.array([n[s] for s in low], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["context", "least", "many"])
+
+    strings, least, many, size, now = [], [], [], 0, None
+    for batch in batches:
+        for part, context, low, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if part != now and size > MERGE:
+                yield flush(strings, least, many)
+                strings, least, many, size = [], [], [], 0
+            now = part
+            strings.append(context)
+            least.append(low)
+            many.append(k)
+            size += len(context) + 1
+    yield flush(strings, least, many)
+
+
+def merged_strings(contexts_: DataFrame, n: int) -> DataFrame:
+    """(context, least, many) of each different string of the n contexts (context, least, many), merged in two levels."""
+    for seed in (1, 2):
+        part = F.pmod(F.xxhash64("context", F.lit(seed)), F.lit(max(1, -(-n // GROUP_CAP)))).alias("part")
+        dealt = contexts_.select(part, "context", "least", "many").repartition("part").sortWithinPartitions("part")
+        contexts_ = cut(dealt.mapInArrow(string_minima, "context binary, least long, many long"))
+        n = contexts_.count()
+    return contexts_
+
+
+def split_minima(contexts_: DataFrame, n: int) -> DataFrame:
+    """(context, n, minima) of the n contexts (context, n, least) of keys that are too many for one task."""
+    strings = merged_strings(contexts_.select("context", "least", F.lit(1).cast("long").alias("many")), n)
+    starts = F.sequence(F.lit(1), F.octet_length("context") - (LENGTH - 1))
+    pieces = F.transform(starts, lambda i: F.substring(F.col("context"), i, F.lit(LENGTH)))
+    each = contexts_.select("context", "n", F.xxhash64("context").alias("number"), F.posexplode(pieces).alias("at", "string"))
+    total = strings.agg(F.sum("many").alias("n")).first()["n"] or 0
+    low = strings.select(F.col("context").alias("same"), F.col("least").alias("low"), "many")
+    met = hot_join(each, low, [("string", "same")], "many", total, number="number")
+    whole = met.groupBy("context").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "low"))).alias("m"))
+    return whole.select("context", "n", F.transform("m", lambda x: x["low"]).alias("minima"))
+
+
 def removal(raw: bytes, hits: np.ndarray) -> tuple[int, int, str]:
     """Bytes removed, runs, and the digest of the rest, from hits: start << RUN | mask of strings."""
     lanes = np.arange(RUN)
@@ -310,15 +362,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     met = possible(texts, keys, ["doc_id"]).join(keys, "doc_id")
     places = cut(met.select("text_key", "doc_id", "text", "keys").mapInArrow(contexts, CONTEXT))
     distinct = cut(places.groupBy("key", "context").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.min("piece").alias("piece"), F.count("*").alias("n")))
-    hot = cut(distinct.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_CAP).select("key"))
-    merged = distinct.join(hot, "key", "left_anti").select("key", "context", "least", "last", "piece", "n").repartition("key").sortWithinPartitions("key")
+    hot = cut(distinct.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_CAP))
+    n_split = hot.agg(F.sum("n").alias("n")).first()["n"] or 0
+    near = distinct.join(hot, "key", "left_anti") if n_split else distinct
+    merged = near.select("key", "context", "least", "last", "piece", "n").repartition("key").sortWithinPartitions("key")
     merged = merged.mapInArrow(interval_minima, "context binary, n long, minima array<long>")
-    starts = F.sequence(F.lit(1), F.octet_length("context") - (LENGTH - 1))
-    each = distinct.join(hot, "key", "left_semi").select("context", "n", "least", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("context"), i, F.lit(LENGTH)))).alias("at", "string"))
-    low = each.groupBy("string").agg(F.min("least").alias("low"))
-    split = each.join(low, "string").groupBy("context").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "low"))).alias("m")).select("context", "n", F.transform("m", lambda x: x["low"]).alias("minima"))
+    if n_split:
+        merged = merged.unionByName(split_minima(distinct.join(hot.select("key"), "key", "left_semi").select("context", "n", "least"), n_split))
     name = lambda a, b: [F.xxhash64("context").alias(a), F.xxhash64("context", F.lit(LENGTH)).alias(b)]
-    found = cut(merged.unionByName(split).select(*name("f0", "f1"), "n", "minima"))
+    found = cut(merged.select(*name("f0", "f1"), "n", "minima"))
     many = distinct.agg(F.sum("n").alias("n")).first()["n"] or 0
     bits = F.transform("minima", lambda m, i: F.when(m < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     mask = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))

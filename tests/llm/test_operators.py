@@ -431,12 +431,33 @@ def test_targets_that_exclude_each_other_end_with_a_warning(spark):
         assert mixing.rake(df, wish, rounds=2).count() == 2
 
 
-def test_thousands_of_copies_and_passages(spark):
+def test_thousands_of_copies_and_passages(spark, monkeypatch):
     passage, other = text(21, 14), text(22, 60)
     rows = [(i, f"{text(23, 5)} {passage}") for i in range(2000)] + [(5000, f"x {passage} y"), (5001, other), (-1, other), (5001, other)]
     rows += [(6000 + i, f"{i} {passage[10:90]}{i}") for i in range(1500)] + [(6000, "again " + passage)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    assert ordered(suffixes.remove_repeats(docs).collect()) == ordered(brute.repeats(rows))
+    want = ordered(brute.repeats(rows))
+    for cap in (suffixes.GROUP_CAP, 100):  # with 100 the passages' keys are merged in two levels
+        monkeypatch.setattr(suffixes, "GROUP_CAP", cap)
+        assert ordered(suffixes.remove_repeats(docs).collect()) == want
+
+
+def test_split_groups_are_merged_whole(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "GROUP_CAP", 50)
+    r = random.Random(8)
+    hot = bytes(r.randrange(256) for _ in range(60))
+    contexts = sorted({hot[r.randrange(5) : 55 + r.randrange(5)] + b"%d" % r.randrange(900) for _ in range(1500)} | {b"%060d" % i for i in range(300)})
+    least = [r.randrange(10**6) for _ in contexts]
+    low, n = {}, {}
+    for c, v in zip(contexts, least, strict=True):
+        for i in range(len(c) - 49):
+            low[c[i : i + 50]] = min(v, low.get(c[i : i + 50], v))
+            n[c[i : i + 50]] = n.get(c[i : i + 50], 0) + 1
+    df = spark.createDataFrame([(bytearray(c), 1, v) for c, v in zip(contexts, least, strict=True)], "context binary, n long, least long")
+    strings = suffixes.merged_strings(df.select("context", "least", F.col("n").alias("many")), len(contexts)).collect()
+    assert sorted((bytes(x["context"]), x["least"], x["many"]) for x in strings) == sorted((s, low[s], n[s]) for s in low)
+    got = {bytes(x["context"]): x["minima"] for x in suffixes.split_minima(df, len(contexts)).collect()}
+    assert got == {c: [low[c[i : i + 50]] for i in range(len(c) - 49)] for c in contexts}
 
 
 def test_blocks_find_every_window():
