@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Symbols of a shard, about.
-SHARD = 1 << 16
+SHARD = 1 << 14
 #: Symbols that a round of the merge goes deeper: two fit 16 bits, which sort by counting.
 STEP = 2
 

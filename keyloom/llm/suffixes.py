@@ -48,8 +48,10 @@ WIDTH = LENGTH - PIECE + 1
 RUN = WIDTH
 #: Contexts of one key that are merged in one task; more are merged in two levels.
 GROUP_CAP = 20_000
-#: Symbols that are merged at once, about.
-MERGE = 1 << 20
+#: Symbols that are merged at once, about: so few that the arrays of a merge stay in a core's cache.
+MERGE = 1 << 17
+#: Contexts that are looked at together, about.
+SINGLES = 10_000
 #: Text bytes whose keys make one part, about, and the fewest parts.
 PART_BYTES, MIN_PARTS = 32 << 20, 32
 CHUNK = 1 << 22
@@ -199,10 +201,18 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     `piece` is where the piece that gave the key stands in the context, or -1 if it stands there more than once.
     """
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
     names = ["text_key", "doc_id", "key", "start", "piece", "context"]
+    cols: list[list[np.ndarray]] = [[] for _ in names]
+    sizes, rows = [], 0
+
+    def out() -> pa.RecordBatch:
+        wide = [np.concatenate([np.empty(0, np.int64), *c]) for c in cols[:4]]
+        piece, flat = np.concatenate([np.empty(0, np.int32), *cols[4]]).astype(np.int32), np.concatenate([np.empty(0, np.uint8), *cols[5]])
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, np.int64), *sizes]))]).astype(np.int32)
+        context = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in wide), pa.array(piece, pa.int32()), context], names)
+
     for batch in batches:
-        cols: list[list] = [[] for _ in names]
         for name, doc, raw, blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             key, pieces = keys_and_pieces(raw)
             known = np.isin(key, np.frombuffer(b"".join(blobs), np.uint64))
@@ -219,16 +229,51 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = np.repeat(np.arange(len(at)), steps)
             j = (np.arange(len(of)) - np.repeat(np.cumsum(steps) - steps, steps)) * RUN
             s, many, own = start[at][of] + j, np.minimum(RUN, run[of] - j), k[at][of]
-            cols[2] += own.view(np.int64).tolist()
-            cols[3] += s.tolist()
-            cols[4] += single_places(pieces, own, s, s + many + WIDTH - 1).tolist()
-            cols[5] += [raw[x:y] for x, y in zip(s.tolist(), (s + many + LENGTH - 1).tolist(), strict=True)]
-            cols[0] += [name] * (len(cols[3]) - len(cols[0]))
-            cols[1] += [doc] * (len(cols[3]) - len(cols[1]))
-            if len(cols[0]) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
-                cols = [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+            long = many + LENGTH - 1
+            for c, x in zip(cols[:4], (np.full(len(s), name), np.full(len(s), doc), own.view(np.int64), s), strict=True):
+                c.append(x)
+            cols[4].append(single_places(pieces, own, s, s + many + WIDTH - 1))
+            cols[5].append(np.frombuffer(raw, np.uint8)[np.repeat(s - (np.cumsum(long) - long), long) + np.arange(long.sum())])
+            sizes.append(long)
+            rows += len(s)
+            if rows > 20_000:
+                yield out()
+                cols, sizes, rows = [[] for _ in names], [], 0
+        yield out()
+        cols, sizes, rows = [[] for _ in names], [], 0
+
+
+#: For hashes of windows: powers of an odd number, and of its inverse, modulo 2**64.
+ODD = int(B[1])
+EVEN_OUT = pow(ODD, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(0, n - 1), base, np.uint64))])
+
+
+def agreeing(flat: np.ndarray, ends: np.ndarray, piece: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which contexts (flat[ends[i]:ends[i + 1]]) need a merge: they agree with another of their group on one of the REACH pairs.
+
+    Windows are compared by 64-bit hashes: two that clash are merged without need, which changes nothing. A group with a
+    piece that stands more than once in a context is merged as a whole.
+    """
+    size = np.bincount(group)
+    shared = (size > 1)[group]
+    agree = shared & (np.bincount(group, piece < 0) > 0)[group]
+    rest = shared & ~agree
+    total = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * _powers(ODD, len(flat)), out=total[1:])
+    back = _powers(EVEN_OUT, len(flat))
+    for before, after in REACH:
+        at = np.flatnonzero(rest & (piece >= before) & (np.diff(ends) >= piece + PIECE + after))
+        lo = ends[at] + piece[at] - before
+        h = (total[lo + before + PIECE + after] - total[lo]) * back[lo]
+        h ^= h >> np.uint64(29)
+        h += group[at].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        _, name, n = np.unique(h, return_inverse=True, return_counts=True)
+        agree[at[n[name] > 1]] = True
+    return agree
 
 
 def interval_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,47 +283,45 @@ def interval_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     so with no other of its key shares strings with its own copies only, and needs no merge.
     """
 
-    def flush(strings: list[bytes], least: list[int], counts: list[int], single: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
-        found = repeated_minima(strings, np.array(least, np.int64), LENGTH) if strings else []
-        found += [np.full(len(c) - LENGTH + 1, low, np.int64) for c, low, _ in single]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-        values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
-        columns = [pa.array(strings + [c for c, _, _ in single], pa.binary()), pa.array(counts + [n for _, _, n in single], pa.int64()), values]
-        return pa.RecordBatch.from_arrays(columns, ["context", "n", "minima"])
-
-    strings, least, counts, single, size = [], [], [], [], 0
-    now, group = None, []
-
-    def close() -> None:
-        nonlocal size
-        if len(group) == 1 or any(g[3] < 0 for g in group):
-            agree = [len(group) > 1] * len(group)
-        else:
-            agree = [False] * len(group)
-            for a, b in REACH:
-                around = [c[p - a : p + PIECE + b] if p >= a and len(c) >= p + PIECE + b else None for c, _, _, p, _ in group]
-                n = Counter(around)
-                agree = [was or (x is not None and n[x] > 1) for was, x in zip(agree, around, strict=True)]
-        for (context, low, last, _, n), merge in zip(group, agree, strict=True):
-            if merge:
-                strings.append(context)
-                least.append(low)
-                counts.append(n)
-                size += len(context) + 1
-            elif low < last:
-                single.append((context, low, n))
-
+    def out(context: pa.Array, n: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([context, pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))], ["context", "n", "minima"])
+
+    def whole(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """All groups of the rows."""
+        key, least, last, piece, n = (np.asarray(rows.column(c)) for c in ("key", "least", "last", "piece", "n"))
+        context = rows.column("context")
+        ends = np.frombuffer(context.buffers()[1], np.int32)[context.offset : context.offset + len(context) + 1].astype(np.int64)
+        flat = np.frombuffer(context.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        sizes, ends = np.diff(ends) - LENGTH + 1, ends - ends[0]
+        group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+        agree = agreeing(flat, ends, piece, group)
+        single = np.flatnonzero(~agree & (least < last))
+        yield out(context.take(pa.array(single)), n[single], sizes[single], np.repeat(least[single], sizes[single]))
+        to_merge = np.flatnonzero(agree)
+        first = np.flatnonzero(np.diff(group[to_merge], prepend=-1))  # a group is merged at once
+        part = (np.cumsum(sizes[to_merge] + LENGTH)[first] // MERGE) if len(to_merge) else first
+        cuts = first[np.flatnonzero(np.diff(part, prepend=-1))]
+        for a, b in _spans(cuts, len(to_merge)):
+            at = to_merge[a:b]
+            held = context.take(pa.array(at))
+            yield out(held, n[at], sizes[at], np.concatenate(repeated_minima(held.to_pylist(), least[at], LENGTH)))
+
+    held, n_rows = [], 0
     for batch in batches:
-        for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key != now:
-                close()
-                now, group = key, []
-                if size > MERGE or len(single) > 50_000:
-                    yield flush(strings, least, counts, single)
-                    strings, least, counts, single, size = [], [], [], [], 0
-            group.append(row)
-    close()
-    yield flush(strings, least, counts, single)
+        held.append(batch)
+        n_rows += batch.num_rows
+        if n_rows < SINGLES or not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        key = np.asarray(rows.column("key"))
+        past = np.flatnonzero(key != key[-1])
+        if len(past):  # the last group may go on
+            yield from whole(rows.slice(0, past[-1] + 1))
+            rows = rows.slice(past[-1] + 1)
+        held, n_rows = [rows], rows.num_rows
+    if n_rows:
+        yield from whole(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
 def string_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

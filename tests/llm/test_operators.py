@@ -554,3 +554,34 @@ def test_hot_keys_are_joined_whole(spark):
         assert len(maybe) + len(never) == len(rows) and len(maybe) < 700 and all(x["i"] % 7 for x in never)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_groups_of_contexts_are_merged_in_small_steps(monkeypatch):
+    """However the rows come in batches, the minima are those of brute force, and no more contexts than a few groups are passed on at once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffixes, "SINGLES", 40)
+    monkeypatch.setattr(suffixes, "MERGE", 2000)
+    r = random.Random(5)
+    rows = []
+    for key in range(300):
+        piece = bytes(r.choice(b"abcd") for _ in range(suffixes.PIECE))
+        around = [bytes(r.choice(b"xyz") for _ in range(30)) for _ in range(2)]
+        own = {}
+        for _ in range(r.choice([1, 2, 7])):
+            a, b = r.randrange(11, 23), r.randrange(11, 23)
+            left, right = (around if r.random() < 0.7 else [bytes(r.choice(b"xyz") for _ in range(30)) for _ in range(2)])
+            own[left[-a:] + piece + right[:b]] = a
+        rows += [(key, c, low := r.randrange(50), low + r.randrange(2), -1 if r.random() < 0.05 else a, 1 + r.randrange(3)) for c, a in own.items()]
+    low = {}
+    for key, c, least, *_ in rows:
+        for i in range(len(c) - 49):
+            low[key, c[i : i + 50]] = min(least, low.get((key, c[i : i + 50]), 999))
+    schema = pa.schema([("key", pa.int64()), ("context", pa.binary()), ("least", pa.int64()), ("last", pa.int64()), ("piece", pa.int32()), ("n", pa.int64())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in rows[at : at + 16]], schema) for at in range(0, len(rows), 16)]
+    out = list(suffixes.interval_minima(iter(batches)))
+    assert max(b.num_rows for b in out) < 100
+    got = {(x["context"]): (x["n"], x["minima"]) for b in out for x in b.to_pylist()}
+    for key, c, least, last, _, n in rows:
+        want = [low[key, c[i : i + 50]] for i in range(len(c) - 49)]
+        assert got.get(c, (n, [least] * len(want))) == (n, want) and (c in got or least == last)
