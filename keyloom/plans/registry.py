@@ -6,10 +6,6 @@ return flag and line status. The queries are whole tables too: all keys of `line
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +13,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.hashing import ALPHABET, SEGMENTS, family, lanes_of, md5_lanes, charfeat_positions
 from keyloom.functions.text import MISSING, clean_text, clean_text_sql, lower_all, shingles, split_list
-from keyloom.operators import coding, discover, index, metrics, query
+from keyloom.operators import coding, discover, index, metrics, passes, query
 from keyloom.sources import corpus
 
 LAKE = ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
@@ -29,9 +25,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lake(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lake(spark: SparkSession, sf_dir: str, unique: bool = False) -> DataFrame:
+    """unique: for readers that make repeated postings one themselves."""
     rows = read(spark, sf_dir, "lineitem")
-    return corpus.shred(rows, 100 + F.col("l_orderkey") % 20, F.col("l_orderkey") * 10 + F.col("l_linenumber"), LAKE, clean=False)
+    return corpus.shred(rows, 100 + F.col("l_orderkey") % 20, F.col("l_orderkey") * 10 + F.col("l_linenumber"), LAKE, clean=False, unique=unique)
 
 
 def keys_query(spark: SparkSession, sf_dir: str, n: int) -> query.QuerySpec:
@@ -76,29 +73,23 @@ SELECT row_number() OVER (ORDER BY n_pairs DESC, table_id) AS rank, table_id, ma
 
 
 def q_discover(spark: SparkSession, sf_dir: str, n: int, fam: str | None = None, **options) -> DataFrame:
-    """The whole, from raw rows to the result, is one plan; q_stored keeps the index."""
-    postings = lake(spark, sf_dir)
-    chosen = family(fam) if fam else None
-    at = index.build_index(postings, chosen) if chosen else postings
-    return discover.discover(at, keys_query(spark, sf_dir, n), K, chosen, postings=postings, **options)
+    """From raw rows to the result in passes; what they write goes at exit."""
+    at = passes.build_rows(lake(spark, sf_dir, unique=True), family(fam) if fam else None)
+    return passes.discover(at, keys_query(spark, sf_dir, n), K, **options)
 
 
 def stored_index(spark: SparkSession, sf_dir: str, fam: str) -> str:
-    """An index of the lake, written to a folder that all executors share (a temporary one in a local session)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="keyloom-index-")
-        atexit.register(shutil.rmtree, base, True)
-    path = f"{base.rstrip('/')}/index-{fam}-{uuid.uuid4().hex}"
+    """An index of the lake by postings, written to a folder that all executors share (a temporary one in a local session)."""
+    path = f"{passes.shared_folder(spark)}/index"
     index.write_index(index.build_index(lake(spark, sf_dir), family(fam)), family(fam), path)
     return path
 
 
 def q_stored(spark: SparkSession, sf_dir: str, fam: str, **options) -> DataFrame:
-    at, chosen = index.read_index(spark, stored_index(spark, sf_dir, fam), family(fam))
-    return discover.discover(at, keys_query(spark, sf_dir, 2), K, chosen, **options)
+    """The index is written with its family, and read again before the query."""
+    path = passes.shared_folder(spark)
+    passes.write_rows(lake(spark, sf_dir, unique=True), family(fam), path)
+    return passes.discover(passes.read_rows(spark, path, family(fam)), keys_query(spark, sf_dir, 2), K, **options)
 
 
 QUERIES: dict = {}
@@ -213,8 +204,7 @@ register("mcr_avg_joinability", lambda s, d: metrics.mean_joinability(lake(s, d)
 
 
 def q_precision(spark: SparkSession, sf_dir: str, fam: str) -> DataFrame:
-    chosen = family(fam)
-    return metrics.filter_precision(index.build_index(lake(spark, sf_dir), chosen), keys_query(spark, sf_dir, 2), chosen, lake(spark, sf_dir))
+    return passes.filter_precision(passes.build_rows(lake(spark, sf_dir, unique=True), family(fam)), keys_query(spark, sf_dir, 2))
 
 
 def precision_sql(fam: str) -> str:

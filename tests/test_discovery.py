@@ -200,3 +200,32 @@ def test_entry_without_the_corpus_operators():
     root = __import__("pathlib").Path(__file__).resolve().parent.parent
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
     assert int(done.stdout.split()[0]) > 40
+
+
+@pytest.mark.parametrize("name", [None, "xx"])
+def test_discovery_in_passes_is_that_of_one_plan(spark, monkeypatch, name):
+    """Repeated postings, cells with several tokens and tokens in several columns, in many passes; no pass holds all."""
+    import random
+
+    from keyloom.operators import passes
+
+    monkeypatch.setattr(passes, "PASS", 200)
+    r = random.Random(3)
+    posts = [(1 + i % 4, i, c, f"t{r.randrange(30)}") for i in range(120) for c in range(4) if r.random() < 0.9]
+    posts += [(t, i, c, f"t{r.randrange(30)}") for t, i, c, _ in posts[::7]] + posts[::5]
+    lake = spark.createDataFrame(posts, "table_id long, row_id long, col_id int, token string")
+    keys = spark.createDataFrame([(f"t{r.randrange(30)}", f"T{r.randrange(30)}", f"t{r.randrange(4)}") for _ in range(200)], "p string, q string, r string")
+    fam = family(name) if name else None
+    at = passes.build_rows(lake, fam)
+    assert at.passes > 2
+    one = lake.distinct()
+    long = index.build_index(one, fam) if fam else one
+    for cols, mode, options in [(["p"], "concat", {}), (["p", "q"], "concat", {"prune": 1}), (["p", "q"], "injective", {"run_ics": True}), (["r", "p", "q"], "injective", {}), (["p", "q", "r"], "concat", {"min_join": 80, "absolute": True}), (["p", "q"], "concat", {"min_join": 0.6})]:
+        q = query.QuerySpec.from_df(keys, cols, clean=False)
+        k = 2 if "prune" in options else 5
+        want = rows(discover.discover(long, q, k, fam, mode, postings=one, **options))
+        assert want and rows(passes.discover(at, q, k, mode, **options)) == want, (cols, mode)
+    q = query.QuerySpec.from_df(keys, ["p", "q"], clean=False)
+    assert rows(passes.filter_precision(at, q)) == rows(metrics.filter_precision(long, q, fam, one))
+    parts = [passes.pass_candidates(at, q, i, columns=()).count() for i in range(at.passes)]
+    assert max(parts) < sum(parts) * 0.7
