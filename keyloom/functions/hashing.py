@@ -12,9 +12,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import lanes
 from .text import shingles
 
 #: Symbols of the character-feature hash, and segments per symbol by size.
@@ -217,6 +219,26 @@ class HashFamily:
         kept = [c for c in df.columns if c != "_shared"]
         return df.select(*kept, *[x.alias(prefix + c) for c, x in zip(self.columns, lanes, strict=True)])
 
+    @property
+    def by_rows(self) -> bool:
+        """Whether row_lanes() has this family; a hash of one's own goes through attach()."""
+        return self.name in DIRECT or self.name in lanes.MANY
+
+    def row_lanes(self, tokens: Column) -> Column:
+        """The lanes of a row as an array, from the array of its tokens: where the row is, with no shuffle."""
+        if self.bits not in SEGMENTS:
+            raise ValueError(f"bits must be one of {sorted(SEGMENTS)}")
+        if self.name in DIRECT:
+            one = lambda k: F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(DIRECT[self.name](t, self, k)))
+            return F.array(*[one(k) for k in range(self.bits // 64)])
+        fam = self
+
+        @F.arrow_udf("array<long>")
+        def many(rows: pa.Array) -> pa.Array:
+            return lanes.row_lanes(rows, fam)
+
+        return many(tokens)
+
     @property
     def columns(self) -> list[str]:
         return [f"sk{k}" for k in range(self.bits // 64)]
@@ -241,6 +263,22 @@ FAMILIES: dict[str, tuple[Callable[[Column, HashFamily], Column], Callable[[Colu
 }
 
 
+def _bloom_lane(token: Column, fam: HashFamily, k: int) -> Column:
+    out = F.lit(0).cast("long")
+    for i in range(fam.ones):
+        at = F.pmod(F.xxhash64(F.lit(i), token), F.lit(fam.bits)).cast("int")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), at % 64)
+        out = out.bitwiseOR(F.when(_div(at, 64) == k, bit).otherwise(F.lit(0).cast("long")))
+    return out
+
+
+#: Families whose lanes are a cheap expression: name to lane k of a token.
+DIRECT: dict[str, Callable[[Column, HashFamily, int], Column]] = {
+    "xx": lambda t, f, k: xx_lanes(t, f.bits)[k],
+    "bloom": _bloom_lane,
+}
+
+
 def register_family(name: str, build: Callable[[Column, HashFamily], Column], positions: bool = False) -> None:
     """A hash of one's own: build(token, family) gives bits / 64 lanes, or (positions=True) bit positions below bits.
 

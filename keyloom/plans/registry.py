@@ -25,10 +25,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lake(spark: SparkSession, sf_dir: str, unique: bool = False) -> DataFrame:
-    """unique: for readers that make repeated postings one themselves."""
+def lake(spark: SparkSession, sf_dir: str, by_rows: bool = False) -> DataFrame:
+    """by_rows: for the index by rows, which makes repeated postings one itself."""
     rows = read(spark, sf_dir, "lineitem")
-    return corpus.shred(rows, 100 + F.col("l_orderkey") % 20, F.col("l_orderkey") * 10 + F.col("l_linenumber"), LAKE, clean=False, unique=unique)
+    make = corpus.shred_rows if by_rows else corpus.shred
+    return make(rows, 100 + F.col("l_orderkey") % 20, F.col("l_orderkey") * 10 + F.col("l_linenumber"), LAKE, clean=False)
 
 
 def keys_query(spark: SparkSession, sf_dir: str, n: int) -> query.QuerySpec:
@@ -73,9 +74,11 @@ SELECT row_number() OVER (ORDER BY n_pairs DESC, table_id) AS rank, table_id, ma
 
 
 def q_discover(spark: SparkSession, sf_dir: str, n: int, fam: str | None = None, **options) -> DataFrame:
-    """From raw rows to the result in passes; what they write goes at exit."""
-    at = passes.build_rows(lake(spark, sf_dir, unique=True), family(fam) if fam else None)
-    return passes.discover(at, keys_query(spark, sf_dir, n), K, **options)
+    """From raw rows to the result in passes; the index goes with the answer, the scores at exit."""
+    at = passes.build_rows(lake(spark, sf_dir, by_rows=True), family(fam) if fam else None)
+    found = passes.discover(at, keys_query(spark, sf_dir, n), K, **options)
+    passes.drop(spark, f"{at.folder}/rows")
+    return found
 
 
 def stored_index(spark: SparkSession, sf_dir: str, fam: str) -> str:
@@ -88,7 +91,7 @@ def stored_index(spark: SparkSession, sf_dir: str, fam: str) -> str:
 def q_stored(spark: SparkSession, sf_dir: str, fam: str, **options) -> DataFrame:
     """The index is written with its family, and read again before the query."""
     path = passes.shared_folder(spark)
-    passes.write_rows(lake(spark, sf_dir, unique=True), family(fam), path)
+    passes.write_rows(lake(spark, sf_dir, by_rows=True), family(fam), path)
     return passes.discover(passes.read_rows(spark, path, family(fam)), keys_query(spark, sf_dir, 2), K, **options)
 
 
@@ -204,7 +207,7 @@ register("mcr_avg_joinability", lambda s, d: metrics.mean_joinability(lake(s, d)
 
 
 def q_precision(spark: SparkSession, sf_dir: str, fam: str) -> DataFrame:
-    return passes.filter_precision(passes.build_rows(lake(spark, sf_dir, unique=True), family(fam)), keys_query(spark, sf_dir, 2))
+    return passes.filter_precision(passes.build_rows(lake(spark, sf_dir, by_rows=True), family(fam)), keys_query(spark, sf_dir, 2))
 
 
 def precision_sql(fam: str) -> str:

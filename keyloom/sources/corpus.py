@@ -59,5 +59,13 @@ def shred(df: DataFrame, table_id: Column, row_id: Column, columns: Sequence[str
     return out if unique else out.distinct()
 
 
+def shred_rows(df: DataFrame, table_id: Column, row_id: Column, columns: Sequence[str], clean: bool = True) -> DataFrame:
+    """(table_id, row_id, cells) for each row: the postings of shred() as they stand in it, ascending by column, or none; row_id may repeat."""
+    token = (lambda c: clean_text(F.col(c))) if clean else (lambda c: F.lower(F.col(c).cast("string")))
+    wide = df.select(table_id.cast("long").alias("table_id"), row_id.cast("long").alias("row_id"), *[token(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    cell = lambda i: F.when(F.col(f"_{i}") != "", F.struct(F.lit(i).alias("col_id"), F.col(f"_{i}").alias("token")))
+    return wide.select("table_id", "row_id", F.array_compact(F.array(*[cell(i) for i in range(len(columns))])).alias("cells"))
+
+
 def union_postings(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

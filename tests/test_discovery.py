@@ -229,3 +229,58 @@ def test_discovery_in_passes_is_that_of_one_plan(spark, monkeypatch, name):
     assert rows(passes.filter_precision(at, q)) == rows(metrics.filter_precision(long, q, fam, one))
     parts = [passes.pass_candidates(at, q, i, columns=()).count() for i in range(at.passes)]
     assert max(parts) < sum(parts) * 0.7
+
+
+TOKENS = ["", "a", "ab", "abc", "aab bcc", "1", "42", "1234567", "900000012", "zz-top_9", "---", "the quick brown f", "fifteen letters", "sixteen letters!", "x" * 24, "y1" * 20, "ünïcode ß", "日本語 12", "a\x00b", "N", "0" * 8]
+
+
+@pytest.mark.parametrize("name", ["charfeat", "bloom", "md5", "xx", "simhash", "murmur", "bloom_murmur"])
+@pytest.mark.parametrize("bits", [128, 256])
+def test_lanes_of_rows_are_those_of_their_tokens(spark, name, bits):
+    """The key of a row made in one go is the OR of its tokens' lanes by the column form."""
+    import random
+
+    r = random.Random(5)
+    tokens = TOKENS + ["".join(r.choice("0123456789abc -_") for _ in range(r.randrange(1, 20))) for _ in range(200)]
+    sets = [[t] for t in tokens] + [r.sample(tokens, 3) for _ in range(50)] + [[]]
+    more = {"charfeat": [{}, {"chars": False}, {"location": False, "length": False}, {"rotation": False}], "bloom": [{"ones": 5}]}
+    for options in more.get(name, [{}]):
+        fam = family(name, bits, **options)
+        one = {x["token"]: x[1:] for x in fam.attach(spark.createDataFrame([(t,) for t in tokens], "token string"), "token").collect()}
+        rows_ = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "i int, s array<string>").select("i", fam.row_lanes(F.col("s")).alias("k"))
+        for x in rows_.collect():
+            want = [0] * (bits // 64)
+            for t in sets[x["i"]]:
+                want = [a | b for a, b in zip(want, one[t], strict=True)]
+            assert list(x["k"]) == want, (options, sets[x["i"]])
+
+
+@pytest.mark.parametrize("name", [None, "xx", "md5"])
+def test_lake_rows_move_once(spark, monkeypatch, tmp_path, name):
+    """Rows as they are give the index of their postings, with one shuffle a pass and no table of tokens."""
+    from keyloom.operators import passes
+
+    df = spark.createDataFrame([(1, 5, "A", "b"), (1, 5, "a", "c"), (1, 6, None, ""), (2, 5, "", "b"), (1, 5, "a", "b"), (2, 7, "x", "x")], "t int, r int, a string, b string")
+    args = (df, F.col("t"), F.col("r"), ["a", "b"])
+    fam = family(name) if name else None
+    plans, keep = [], passes.keep
+    monkeypatch.setattr(passes, "keep", lambda parts, path: plans.extend((path, p._jdf.queryExecution().toString()) for p in parts) or keep(parts, path))
+    monkeypatch.setattr(passes, "PASS", 3)
+    at = passes.build_rows(corpus.shred_rows(*args, clean=False), fam, str(tmp_path / "a"))
+    assert len(plans) == 2 and all(path.endswith("/rows") and plan.split("== Physical Plan ==")[1].count("Exchange ") == 1 for path, plan in plans)
+    by = lambda df: sorted(map(str, rows(df)))
+    assert by(at.rows) == by(passes.build_rows(corpus.shred(*args, clean=False), fam, str(tmp_path / "b")).rows) and at.rows.count() == 3
+
+
+def test_the_leading_key_is_counted_in_passes(spark, tmp_path, monkeypatch):
+    """The same key as initial_column() leads, but no shuffle holds all of its values; the query's rows go with the answer."""
+    from keyloom.operators import passes
+
+    q = query.QuerySpec.from_df(spark.createDataFrame([(f"a{i}", f"b{i % 7}", f"c{i % 7}") for i in range(60)], "p string, q string, r string"), ["p", "q", "r"])
+    monkeypatch.setattr(query, "key_counts", None)
+    monkeypatch.setattr(passes, "PASS", 40)
+    assert passes.kept_query(q, str(tmp_path / "q"), True, 3).order == (1, 0, 2)
+    lake = spark.createDataFrame([(1, i, c, f"{'abc'[c]}{i}") for i in range(60) for c in range(3)], "table_id long, row_id long, col_id int, token string")
+    at = passes.build_rows(lake, None, str(tmp_path / "i"))
+    assert rows(passes.discover(at, q, 3, run_ics=True)) == [(1, 1, "1_0_2", 7, 7)]
+    assert not [p for p in (tmp_path / "i").iterdir() if p.name.startswith("asked")]
