@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.functions.text import MISSING, clean_text
 
@@ -36,6 +39,9 @@ class QuerySpec:
             raise ValueError("a query needs a key column")
         raw = df.select(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]).dropDuplicates()
         names = [f"k{i}" for i in range(len(keys))]
+        whole = not clean and all(isinstance(f.dataType, T.IntegralType) for f in df.select(*[F.col(k) for k in keys]).schema)
+        if whole:  # whole numbers have no case: what is distinct stays so
+            return cls(raw.where(reduce(and_, [F.col(c).isNotNull() for c in names])).withColumn("m", F.lit(1).cast("long")), tuple(range(len(keys))))
         rows = raw.select(*[(clean_text(F.col(c)) if clean else F.lower(F.col(c))).alias(c) for c in names])
         for c in names:
             rows = rows.where(F.col(c).isNotNull() & ~F.col(c).isin(*MISSING))

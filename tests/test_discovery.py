@@ -284,3 +284,59 @@ def test_the_leading_key_is_counted_in_passes(spark, tmp_path, monkeypatch):
     at = passes.build_rows(lake, None, str(tmp_path / "i"))
     assert rows(passes.discover(at, q, 3, run_ics=True)) == [(1, 1, "1_0_2", 7, 7)]
     assert not [p for p in (tmp_path / "i").iterdir() if p.name.startswith("asked")]
+
+
+def test_passes_do_not_grow_with_the_lake(spark, monkeypatch, tmp_path):
+    """However large the lake is, the index is read MOST times by a query, and a pass reads its own rows of the query only."""
+    from keyloom.operators import passes
+
+    monkeypatch.setattr(passes, "PASS", 10)
+    lake = spark.createDataFrame([(1, i, c, f"{'abc'[c]}{i}") for i in range(90) for c in range(3)], "table_id long, row_id long, col_id int, token string")
+    at = passes.build_rows(lake, None, str(tmp_path / "i"))
+    assert at.passes == passes.MOST == len(list((tmp_path / "i" / "rows").glob("pass=*")))
+    q = query.QuerySpec.from_df(spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(90)], "p string, q string"), ["p", "q"])
+    kept = passes.kept_query(q, str(tmp_path / "q"), n=at.passes)
+    for i, part in enumerate(kept.parts):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "(_pass#" in plan.split("PartitionFilters: [")[1].split("]")[0] and f"= {i})" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert sorted(rows(kept.rows)) == sorted(rows(q.rows)) == sorted(x for part in kept.parts for x in rows(part))
+    assert sum(passes.pass_candidates(at, kept, i, columns=()).count() for i in range(at.passes)) == 90
+
+
+def test_a_pass_moves_rows_once_and_sorts_them_by_a_number(spark, monkeypatch, tmp_path):
+    from keyloom.operators import passes
+
+    monkeypatch.setattr(passes, "PASS", 100)
+    lake = spark.createDataFrame([(1, i, c, f"{'abc'[c]}{i}") for i in range(90) for c in range(3)], "table_id long, row_id long, col_id int, token string")
+    at = passes.build_rows(lake, None, str(tmp_path / "i"))
+    q = passes.kept_query(query.QuerySpec.from_df(spark.createDataFrame([("a1", "b1"), ("a2", "b3")], "p string, q string"), ["p", "q"]), str(tmp_path / "q"), n=at.passes)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = passes.pass_scores(at, q, 0, "concat")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "SortMergeJoin [xxhash64(" in plan and plan.count("+- Exchange ") == 4  # both sides, the filter's words, the sums
+
+
+def test_pruning_scores_no_table_twice(spark, monkeypatch, tmp_path):
+    from keyloom.operators import passes
+
+    monkeypatch.setattr(passes, "PASS", 60)
+    lake = spark.createDataFrame([(1 + i % 5, i, c, f"{'ab'[c]}{i // 5 % (3 + i % 5)}") for i in range(120) for c in range(2)], "table_id long, row_id long, col_id int, token string")
+    q = query.QuerySpec.from_df(spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(6)], "p string, q string"), ["p", "q"])
+    at, scored, scores = passes.build_rows(lake, None, str(tmp_path / "i")), [], passes.scores
+    monkeypatch.setattr(passes, "scores", lambda index, *a: scored.extend(x[0] for x in rows(index.rows.select("table_id").distinct())) or scores(index, *a))
+    whole = rows(passes.discover(at, q, 2))
+    assert sorted(scored) == [1, 2, 3, 4, 5]
+    scored.clear()
+    assert rows(passes.discover(at, q, 2, prune=2)) == whole and len(whole) == 2
+    assert len(scored) == len(set(scored)) >= 2
+
+
+def test_whole_numbers_are_made_distinct_in_one_shuffle(spark):
+    df = spark.createDataFrame([(1, -2, "A"), (1, -2, "a"), (1, None, "b"), (3, 4, "b")], "p long, q int, s string")
+    q = query.QuerySpec.from_df(df, ["p", "q"], clean=False).rows
+    assert q._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted(rows(q)) == [("1", "-2", 1), ("3", "4", 1)]
+    assert sorted(rows(query.QuerySpec.from_df(df, ["p", "s"], clean=False).rows)) == [("1", "a", 2), ("1", "b", 1), ("3", "b", 1)]
