@@ -74,11 +74,8 @@ SELECT row_number() OVER (ORDER BY n_pairs DESC, table_id) AS rank, table_id, ma
 
 
 def q_discover(spark: SparkSession, sf_dir: str, n: int, fam: str | None = None, **options) -> DataFrame:
-    """From raw rows to the result in passes; the index goes with the answer, the scores at exit."""
-    at = passes.build_rows(lake(spark, sf_dir, by_rows=True), family(fam) if fam else None)
-    found = passes.discover(at, keys_query(spark, sf_dir, n), K, **options)
-    passes.drop(spark, f"{at.folder}/rows")
-    return found
+    """From raw rows to the result in parts and passes; a part of the index goes with its scores, those at exit."""
+    return passes.discover_in_parts(lake(spark, sf_dir, by_rows=True), family(fam) if fam else None, keys_query(spark, sf_dir, n), K, width=len(LAKE), **options)
 
 
 def stored_index(spark: SparkSession, sf_dir: str, fam: str) -> str:
@@ -207,7 +204,7 @@ register("mcr_avg_joinability", lambda s, d: metrics.mean_joinability(lake(s, d)
 
 
 def q_precision(spark: SparkSession, sf_dir: str, fam: str) -> DataFrame:
-    return passes.filter_precision(passes.build_rows(lake(spark, sf_dir, by_rows=True), family(fam)), keys_query(spark, sf_dir, 2))
+    return passes.precision_in_parts(lake(spark, sf_dir, by_rows=True), family(fam), keys_query(spark, sf_dir, 2), width=len(LAKE))
 
 
 def precision_sql(fam: str) -> str:

@@ -340,3 +340,54 @@ def test_whole_numbers_are_made_distinct_in_one_shuffle(spark):
     assert q._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     assert sorted(rows(q)) == [("1", "-2", 1), ("3", "4", 1)]
     assert sorted(rows(query.QuerySpec.from_df(df, ["p", "s"], clean=False).rows)) == [("1", "a", 2), ("1", "b", 1), ("3", "b", 1)]
+
+
+def test_parts_of_tables_give_the_result_of_the_whole_index(spark, monkeypatch, tmp_path):
+    """The index of one part is on disk at a time, and no table is in two."""
+    import random
+
+    from keyloom.operators import passes
+
+    r = random.Random(7)
+    lines = [(1 + i % 9, i // 2 if i % 4 else i, f"t{r.randrange(30)}", f"T{r.randrange(30)}", r.choice(["n", "", None])) for i in range(700)]
+    df = spark.createDataFrame(lines, "t int, r int, a string, b string, c string")
+    lake = corpus.shred_rows(df, F.col("t"), F.col("r"), ["a", "b", "c"], clean=False)
+    keys = spark.createDataFrame([(f"t{r.randrange(30)}", f"T{r.randrange(30)}", "n") for _ in range(300)], "p string, q string, r string")
+    fam = family("md5")
+    monkeypatch.setattr(passes, "PASS", 700)
+    at, seen, build = passes.build_rows(lake, fam, str(tmp_path / "whole")), {}, passes.build_rows
+
+    def built(*a):
+        own = build(*a)
+        kept = [p for p in (tmp_path / str(len(runs))).iterdir() if (p / "rows").exists()]
+        assert len(kept) == 1, kept
+        seen.setdefault(len(runs), []).append({x[0] for x in rows(own.rows.select("table_id").distinct())})
+        return own
+
+    monkeypatch.setattr(passes, "build_rows", built)
+    runs = []
+    for cols, mode, options in [(["p", "q"], "concat", {"prune": 5}), (["q", "p"], "injective", {"run_ics": True, "min_join": 0.4})]:
+        q = query.QuerySpec.from_df(keys, cols, clean=False)
+        runs.append(cols)
+        got = rows(passes.discover_in_parts(lake, fam, q, 4, mode, folder=str(tmp_path / str(len(runs))), width=3, **options))
+        assert got and got == rows(passes.discover(at, q, 4, mode, **options)), (cols, mode, options)
+    runs.append(None)
+    q = query.QuerySpec.from_df(keys, ["p", "q"], clean=False)
+    assert rows(passes.precision_in_parts(lake, fam, q, str(tmp_path / str(len(runs))), 3)) == rows(passes.filter_precision(at, q))
+    assert len(seen) == 3 and all(len(x) > 1 and len(set().union(*x)) == sum(map(len, x)) == 9 for x in seen.values())
+    assert not list(tmp_path.glob("[0-9]*/part-*/rows")) and not list(tmp_path.glob("[0-9]*/asked"))
+
+
+def test_parts_of_one_table_and_of_none(spark, monkeypatch):
+    """A large table is a part alone; a lake without rows has an answer."""
+    from keyloom.operators import passes
+
+    monkeypatch.setattr(passes, "PASS", 25)
+    posts = [(1, i, 0, f"a{i}") for i in range(60)] + [(2 + t, i, 0, f"a{i}") for t in range(3) for i in range(5)]
+    lake = spark.createDataFrame(posts, "table_id long, row_id long, col_id int, token string")
+    parts = passes.deal_tables(lake)
+    assert parts.passes == 3 and [lines for _, lines in parts.bins] == [60, 10, 5]
+    q = query.QuerySpec.from_df(spark.createDataFrame([("a1",), ("a7",)], "p string"), ["p"])
+    assert rows(passes.discover_in_parts(lake, None, q, 2)) == [(1, 1, "0", 2, 2), (2, 2, "0", 1, 1)]
+    assert rows(passes.discover_in_parts(lake.where("false"), family("xx"), q)) == []
+    assert rows(passes.precision_in_parts(lake.where("false"), None, q)) == [(0, 0, 0, None)]
